@@ -41,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_secrets, op5_pieces, op6_langid, op8_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op3_secrets, op5_pieces, op6_langid, op8_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
