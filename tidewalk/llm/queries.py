@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import langid, pieces, secrets, simhash, toxicity
+from . import additive, impact, langid, language_model, mixing, pieces, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,10 +20,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "source", F.col("_block").alias("block"), F.col("_place").alias("place"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_documents(spark, sf_dir)))
 
 
+def _every_fiftieth(vec_id: Column) -> Column:
+    return vec_id % 50 == 0
+
+
+def op4_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _every_fiftieth)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, sf_dir), pieces.read_model(TOKENIZER))
 
@@ -32,16 +44,25 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(_documents(spark, sf_dir))
 
 
+def op7_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _every_fiftieth)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(_documents(spark, sf_dir), pieces.read_model(TOKENIZER))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.evaluate(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.evaluate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_secrets, op5_pieces, op6_langid, op8_token_counts, op10_toxicity)}
+    own = (op1_simhash, op2_mixing, op3_secrets, op4_impact, op5_pieces, op6_langid, op7_additive, op8_token_counts, op9_language_model, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,97 +1,114 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct character 5-grams of the lower-cased text, with a space at
-either end and runs of white space as one.  Document frequencies by class are counted
-over all labelled training texts.  The ``n_features`` n-grams that tell the classes apart best
-(likelihood ratio) become features, each worth its naive Bayes log-count ratio where it occurs; a logistic
-regression on them is fitted on a sample of at most ``sample`` labelled rows, taken by hash of the id.
+Features are the distinct character 6-grams of the lower-cased text, with a space at either end
+and for each run of other signs than letters and digits.  The model is fitted on at most ``sample`` labelled rows, half of
+them of either class if there are as many, taken by hash of the id.  Over these, document
+frequencies by class give each n-gram its naive Bayes log-count ratio and a likelihood
+ratio; the ``n_features`` n-grams that tell the classes apart best, of those in at
+least a share of the toxic texts, become features, each worth its
+log-count ratio where it occurs, and a logistic regression on them is fitted.  Scoring reads whole texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, fold, mix64
+from .common import as_text, cut, fold, mix64
 
-WIDTH = 5
-_BITS = 34  # of an n-gram's hash
+WIDTH = 6
+_TABLE = 1 << 20
+_OTHER = re.compile(r"[\W_]+").sub
 
 
-def grams(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the character n-grams; at least one."""
-    chars = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+def hashes(text: str) -> np.ndarray:
+    """A hash of each character n-gram, one for each place."""
+    chars = np.frombuffer(f" {_OTHER(' ', text.lower()).strip()} ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     if len(chars) < WIDTH:
         chars = np.r_[chars, np.full(WIDTH - len(chars), 32, dtype=np.uint64)]
     n = len(chars) - WIDTH + 1
-    h = chars[:n]
+    h = chars[:n].copy()
     for i in range(1, WIDTH):
-        h = h * np.uint64(0x100000001B3) + chars[i : i + n]
-    return np.unique(mix64(h) >> np.uint64(64 - _BITS)).astype(np.int64)
+        h *= np.uint64(0x100000001B3)
+        h += chars[i : i + n]
+    return (mix64(h) >> np.uint64(1)).astype(np.int64)
+
+
+class _Marks:
+    """Which n-grams may be among some keys: a fixed table that lets few others through."""
+
+    def __init__(self, keys: np.ndarray):
+        self.on = np.zeros(_TABLE, dtype=bool)
+        self.on[keys & (_TABLE - 1)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        return h[self.on[h & (_TABLE - 1)]]
 
 
 @dataclass
 class ToxicityModel:
     keys: np.ndarray  # sorted hashes
-    weight: np.ndarray  # times the ratio
+    weight: np.ndarray  # regression weight times log-count ratio
     bias: float
-    prior: float
+    prior: float  # smoothed share of label 1
+    marks: _Marks = field(init=False)
+
+    def __post_init__(self):
+        self.marks = _Marks(self.keys)
 
     def positions(self, text: str) -> np.ndarray:
-        g = grams(text)
-        at = np.searchsorted(self.keys, g)
-        at[at == len(self.keys)] = 0
-        return at[self.keys[at] == g] if len(self.keys) else at[:0]
+        """Which features the text has."""
+        h = np.unique(self.marks(hashes(text)))
+        if not len(h) or not len(self.keys):
+            return np.array([], dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at[self.keys[at] == h]
 
     def score(self, text: str) -> float:
-        if not text or not text.strip():
-            return self.prior
+        if not text or text.isspace():
+            return min(self.prior, 0.49999)
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[self.positions(text)].sum(), -40, 40))))
 
 
-def _frequencies(labelled: DataFrame) -> DataFrame:
-    """``(gram, pos, neg)``: in how many texts of either class each n-gram is, the total under gram -1."""
+def _frequencies(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """``(gram, n)``: in how many texts each n-gram is, perhaps only for those in ``only`` and a few others."""
+    sent = texts.sparkSession.sparkContext.broadcast(None if only is None else _Marks(only))
 
     def run(batches):
-        keys, pos, neg = [], [], []
-
-        def out():
-            k, back = np.unique(np.concatenate(keys), return_inverse=True)
-            p, q = (np.bincount(back, weights=np.concatenate(x), minlength=len(k)).astype(np.int64) for x in (pos, neg))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(q)], names=["gram", "pos", "neg"])
-
-        held = 0
+        marks, held, n = sent.value, [], 0
         for b in batches:
-            for text, y in zip(as_text(b.column(0)), b.column(1).to_pylist()):
-                g = np.r_[-1, grams(text)]
-                keys.append(g)
-                pos.append(np.full(len(g), y == 1))
-                neg.append(np.full(len(g), y != 1))
-                held += len(g)
-                if held > 4_000_000:
-                    yield out()
-                    keys, pos, neg, held = [], [], [], 0
+            for text in as_text(b.column(0)):
+                h = hashes(text)
+                held.append(np.unique(h if marks is None else marks(h)))
+                n += len(held[-1])
+                if n > 8_000_000:
+                    yield out(held)
+                    held, n = [], 0
         if held:
-            yield out()
+            yield out(held)
+
+    def out(held):
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    return labelled.mapInArrow(run, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _fit(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows whose entries are the ratios, by accelerated gradient steps."""
+    """Logistic regression on sparse rows whose entries are the ratios, by accelerated gradient steps; the classes weigh alike."""
     n, m = len(rows), len(ratio)
-    indices = np.concatenate(rows) if n else np.array([], dtype=np.int64)
+    indices = np.concatenate(rows).astype(np.int64)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     value = ratio[indices]
     scale = 1 / max(np.sqrt(np.bincount(owner, weights=value**2, minlength=n).max(initial=0.0)), 1e-9)  # longest row to length 1
     value = value * scale
     w, b = np.zeros(m), 0.0
     back_w, back_b, momentum = w, b, 1.0
-    share = y.mean()
-    each = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / n  # classes weigh alike
+    each = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
     for _ in range(rounds):
         z = np.bincount(owner, weights=value * w[indices], minlength=n) + b
         g = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
@@ -103,53 +120,67 @@ def _fit(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, ridge: float,
     return back_w * scale, float(back_b)
 
 
-def train(labelled: DataFrame, n_features: int = 4096, sample: int = 20_000, least: int = 3, ridge: float = 1e-6) -> ToxicityModel:
-    """A model from ``labelled(doc_id, text, toxic)``; rows with a null label teach nothing.
+def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000) -> DataFrame:
+    """``(text, toxic)`` of at most ``sample`` labelled ids whose fold is not 0, half of either class.
+
+    Of several labels of one id the largest counts, of several rows of one id any one.  The chosen
+    ids, a bounded number, are broadcast, so no text is shuffled.
+    """
+    own = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (fold(labels["doc_id"], modulus) != 0))
+    own = own.groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    some = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (1, 0)]
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "_id")
+    return rows.groupBy("_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+
+
+def train(labelled: DataFrame, n_features: int = 8192, share: float = 0.002, least: int = 3, least_gain: float = 10.0, ridge: float = 3e-6) -> ToxicityModel:
+    """A model from the bounded rows ``labelled(text, toxic)``.
 
-    Without rows of both classes every score is the share of label 1 (0.5 smoothed for none).
-    The driver holds at most ``n_features`` n-grams and, of ``sample`` rows, the features that occur.
+    N-grams in fewer than ``least`` or ``share`` of the toxic texts, or with less than ``least_gain`` evidence,
+    are no features.  Without rows of both classes every score is the smoothed share of label 1.
     """
-    labelled = labelled.where("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    counts = _frequencies(labelled.select("text", "toxic"))
-    total = counts.where("gram = -1").first()
-    pos, neg = (total["pos"], total["neg"]) if total else (0, 0)
+    labelled = cut(labelled, "labelled")
+    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)
     prior = (pos + 0.5) / (pos + neg + 1)
     if not pos or not neg:
         return ToxicityModel(np.array([], dtype=np.int64), np.array([]), float(np.log(prior / (1 - prior))), prior)
-
-    def part(n, of):  # n * log of the rate against the rate over both classes
-        return F.when(n > 0, n * F.log(n / (of * (F.col("pos") + F.col("neg")) / (pos + neg)))).otherwise(0.0)
-
-    gain = part(F.col("pos"), pos) + part(F.col("neg"), neg)
-    best = counts.where((F.col("gram") >= 0) & (F.col("pos") + F.col("neg") >= least)).orderBy(F.desc(gain), "gram").limit(n_features).toArrow()
-    order = np.argsort(best["gram"].to_numpy())
-    keys, p, q = (best[c].to_numpy()[order].astype(np.int64 if c == "gram" else np.float64) for c in ("gram", "pos", "neg"))
-    ratio = np.log((p + 1) / (pos + 1)) - np.log((q + 1) / (neg + 1))
-    shape = ToxicityModel(keys, ratio, 0.0, prior)
-    sent = labelled.sparkSession.sparkContext.broadcast(shape)
+    found = _frequencies(labelled.where("toxic = 1")).where(F.col("n") >= max(least, share * pos)).toArrow()
+    order = np.argsort(found["gram"].to_numpy())
+    keys, p = found["gram"].to_numpy()[order], found["n"].to_numpy()[order].astype(np.float64)
+    q = np.zeros(len(keys))
+    rest = _frequencies(labelled.where("toxic = 0"), keys).toArrow()
+    gram, m = rest["gram"].to_numpy(), rest["n"].to_numpy()
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        same = keys[at] == gram
+        q[at[same]] = m[same]
+
+    def part(a, expected):
+        return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(expected, 1e-9)), 0)
+
+    both, total = p + q, pos + neg
+    gain = part(p, pos * both / total) + part(q, neg * both / total) + part(pos - p, pos * (total - both) / total) + part(neg - q, neg * (total - both) / total)
+    best = np.flatnonzero(gain >= least_gain)
+    best = np.sort(best[np.lexsort((keys[best], -gain[best]))[:n_features]])
+    ratio = np.log((p[best] + 1) / (pos + 1)) - np.log((q[best] + 1) / (neg + 1))
+    sent = labelled.sparkSession.sparkContext.broadcast(ToxicityModel(keys[best], ratio, 0.0, prior))
 
     def run(batches):
         for b in batches:
-            found = [sent.value.positions(t).tolist() for t in as_text(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], names=["at", "toxic"])
-
-    taken = _sample(labelled, sample, pos + neg)
-    rows = taken.select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow()
-    y = rows["toxic"].to_numpy().astype(np.float64)
-    weight, bias = _fit([np.array(x, dtype=np.int64) for x in rows["at"].to_pylist()], ratio, (y == 1).astype(np.float64), ridge)
-    return ToxicityModel(keys, weight * ratio, bias, prior)
+            has = [sent.value.positions(t) for t in as_text(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), b.column(1)], names=["at", "toxic"])
 
-
-def _sample(labelled: DataFrame, sample: int, n: int) -> DataFrame:
-    """All rows, or those whose hash is under a bound that lets about ``sample`` through, and no more than that."""
-    bound = min(1.0, sample / max(n, 1))
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(bound * (1 << 30))).limit(sample)
+    rows = labelled.select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow()
+    weight, bias = _fit([np.array(x, dtype=np.int64) for x in rows["at"].to_pylist()], ratio, rows["toxic"].to_numpy().astype(np.float64), ridge)
+    return ToxicityModel(keys[best], weight * ratio, bias, prior)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5), one row per input row.
 
-    Null and blank texts get the training share of label 1.  Null ids and repeated rows stay; an empty table gives an empty result.
+    Null and blank texts get the share of label 1 among the rows learned from, at most 0.49999, so they are kept.
+    Null ids and repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(text).alias("_text"), *keep)
@@ -166,17 +197,8 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tu
     return source.mapInArrow(run, f"{types}, score double, predicted int")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5) -> DataFrame:
-    """Training rows ``(doc_id, text, toxic)``: labelled, and the fold of their id is not 0.
-
-    Of several labels of one id the largest counts.
-    """
-    own = labels.where(fold(F.col("doc_id"), modulus) != 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")).where("toxic is not null")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-
-
-def evaluate(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, **how) -> DataFrame:
+def evaluate(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000, **how) -> DataFrame:
     """Learn from labelled rows whose fold of the id is not 0, and score all rows: ``doc_id, held_out, score, predicted``."""
-    model = train(labelled_rows(docs, labels, text, doc_id, modulus), **how)
+    model = train(labelled_rows(docs, labels, text, doc_id, modulus, sample), **how)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (fold(F.col(doc_id), modulus) == 0).alias("held_out"))
     return classify(rows, model, keep=("doc_id", "held_out"))
