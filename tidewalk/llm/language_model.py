@@ -29,6 +29,12 @@ _START, _PAIR, _WORD = np.uint64(0x5D1E57A7), np.uint64(0xA0761D6478BD642F), np.
 _FLUSH = 4_000_000
 
 
+def _probe(suffix: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of a gram's probes at a level."""
+    h = mix64(suffix.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+    return h, (h >> np.uint64(33)) | np.uint64(1)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -65,8 +71,7 @@ class CountFilter:
 
     @staticmethod
     def places(suffix: np.ndarray, level: int, probes: int, slice_bits: int) -> list[np.ndarray]:
-        h = mix64(suffix.astype(np.uint64) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-        step, mask = (h >> np.uint64(33)) | np.uint64(1), np.uint64((1 << slice_bits) - 1)
+        (h, step), mask = _probe(suffix, level), np.uint64((1 << slice_bits) - 1)
         return [(h + np.uint64(i) * step) & mask for i in range(probes)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
@@ -78,8 +83,8 @@ class CountFilter:
         while len(at):
             q += 1
             for place in range(self.probes):
-                h = mix64(suffix.astype(np.uint64) + np.uint64(q) * np.uint64(0x9E3779B97F4A7C15))
-                spot = base + ((h + np.uint64(place) * ((h >> np.uint64(33)) | np.uint64(1))) & np.uint64((1 << self.slice_bits) - 1))
+                h, step = _probe(suffix, q)
+                spot = base + ((h + np.uint64(place) * step) & np.uint64((1 << self.slice_bits) - 1))
                 hit = (self.bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 != 0
                 at, base, suffix = at[hit], base[hit], suffix[hit]
             found[at] = q
@@ -211,10 +216,10 @@ def train(training: DataFrame, tokens: int, words: int, filter_bits: int = 28, r
     return CountFilter(bits.reshape(-1), range_bits, slice_bits, probes, tokens, words)
 
 
-def text_scores(model: CountFilter, h: np.ndarray, first: np.ndarray, prior: float) -> np.ndarray:
+def text_scores(model: CountFilter, h: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
     """log10 probability of each token of hash ``h``; ``first`` marks the tokens that start a text.
 
-    P(w | v) = (c(v, w) + prior * P(w)) / (c(v) + prior), with P(w) = (c(w) + 1) / (N + V + 1).
+    P(w | v) = share * c(v, w) / c(v) + (1 - share) * P(w), and P(w) alone if v is unseen; P(w) = (c(w) + 1) / (N + V + 1).
     """
     before = np.r_[_START, h[:-1]]
     before[first] = _START
@@ -225,10 +230,10 @@ def text_scores(model: CountFilter, h: np.ndarray, first: np.ndarray, prior: flo
     context[first] = counts[-1]
     pair = np.minimum(expected(model.levels(pair_keys(before, h))), np.minimum(context, own))
     single = (own + 1) / (model.tokens + model.words + 1)
-    return np.log10((pair + prior * single) / (context + prior))
+    return np.log10(np.where(context > 0, share * pair / np.maximum(context, 1) + (1 - share) * single, single))
 
 
-def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, prior: float = 20.0, chunk_bytes: int = 8 << 20, **how) -> DataFrame:
+def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, share: float = 0.4, chunk_bytes: int = 8 << 20, **how) -> DataFrame:
     """Learn from the rows whose fold of the id is not ``held``, and score all: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A null or empty text is one end token.  Null ids and repeated rows stay; other columns are ignored; without training rows all
@@ -265,7 +270,7 @@ def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulu
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         total = lambda x: np.add.reduceat(x, starts)
         base = total(gain[at]) - lengths * np.log10(model.tokens + model.words + 1.0)
-        score = total(text_scores(model, h[at], starts, prior))
+        score = total(text_scores(model, h[at], starts, share))
         columns = [table["doc_id"], table["held_out"], pa.array(lengths.astype(np.int64)), pa.array(total(known[at].astype(np.int64))), pa.array([model.tokens] * len(lengths), pa.int64()), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

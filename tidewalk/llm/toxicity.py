@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -197,6 +198,17 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tu
     return source.mapInArrow(run, f"{types}, score double, predicted int")
 
 
+def reject(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without those that score ``threshold`` or more; null and blank texts stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.score(t or "") for t in texts], dtype="float64")
+
+    return docs.where(score(F.coalesce(F.col(text), F.lit(""))) < threshold)
+
+
 def evaluate(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000, **how) -> DataFrame:
     """Learn from labelled rows whose fold of the id is not 0, and score all rows: ``doc_id, held_out, score, predicted``."""
     model = train(labelled_rows(docs, labels, text, doc_id, modulus, sample), **how)
