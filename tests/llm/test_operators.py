@@ -73,7 +73,7 @@ def test_fingerprints_and_classes(docs, empty):
                 for x in classes[a]:
                     classes[x] = classes[a]
     for r in got:
-        assert r.component_id == min(i for i, f in want if f in classes[r.fingerprint] and i is not None)
+        assert r.component_id == min((i for i, f in want if f in classes[r.fingerprint] and i is not None), default=None)
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -341,7 +341,7 @@ def test_toxicity(spark, empty):
     kept = toxicity.reject(docs, toxicity.train(toxicity.labelled_rows(docs, labels)))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1000, 1001, 1, 2}
     assert toxicity.evaluate(empty, labels).count() == 0
-    assert {r.predicted for r in toxicity.evaluate(docs, labels.where("false")).collect()} == {1} or True
+    assert len({r.score for r in toxicity.evaluate(docs, labels.where("false")).collect() if r.doc_id is not None and r.doc_id < 500}) == 1
 
 
 def test_language_model(docs, empty):
@@ -361,12 +361,12 @@ def test_count_filter():
     rng = np.random.default_rng(9)
     suffix = np.unique(rng.integers(0, 2**32, 4000, dtype=np.uint32))
     count = rng.geometric(0.1, len(suffix))
-    bits = language_model._slice(suffix, count, 17, 4)
-    model = language_model.CountFilter(bits, 0, 17, 4, 1, 1) if False else language_model.CountFilter(np.tile(bits, 2), 1, 17, 4, 1, 1)
-    keys = suffix.astype(np.uint64) << np.uint64(31)
-    got, want = model.levels(keys), language_model.level(count)
-    held = got > 0
-    assert (got[held] >= want[held]).all() and (got[held] == want[held]).mean() > 0.85
+    keys, want = suffix.astype(np.uint64) << np.uint64(31), language_model.level(count)
+    for bits, all_in in ((19, True), (16, False)):
+        part = language_model._slice(suffix, count, bits, 4)
+        got = language_model.CountFilter(np.tile(part, 2), 1, bits, 4, 1, 1).levels(keys)
+        held = want >= (1 if all_in else want[got < want].max() + 1)
+        assert held.sum() > 300 and (got[held] >= want[held]).all() and (got[held] == want[held]).mean() > 0.85
     assert language_model._slice(suffix[:0], count[:0], 10, 4).sum() == 0
     assert (np.abs(language_model.expected(language_model.level(np.arange(1, 200))) / np.arange(1, 200) - 1) < 0.25).all()
 
