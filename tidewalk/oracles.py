@@ -166,5 +166,5 @@ cells as (select a.range as yh, b.range as xh, {_box('15.0*b.range + 7.5', '10.0
 e as (select 'U' as dir, c.yh as fj, (c.xh + 1) % 24 as fi, case when n.m then 1 else -1 end as s from cells c join cells n on n.yh = c.yh and n.xh = (c.xh + 1) % 24 and n.m <> c.m
       union all select 'V', c.yh + 1, c.xh, case when n.m then 1 else -1 end from cells c join cells n on n.xh = c.xh and n.yh = c.yh + 1 and n.m <> c.m)
 select time, z_l, sum(val*s) as total from e join (select 'U' as dir, time, z_l, yh as fj, xq as fi, umo as val from umo union all select 'V', time, z_l, yq, xh, vmo from vmo) d using (dir, fj, fi) group by time, z_l""",
-        "q_supergrid": "select p.position, (j // 2) as y, (i // 2) as x, 2.5*i as lon, 5.0*j - 20 as lat from (select a.range as j, b.range as i from range(9) a, range(13) b) join (values ('corner', 0, 0), ('v', 0, 1), ('u', 1, 0), ('center', 1, 1)) p(position, r, c) on j % 2 = r and i % 2 = c",
+        "q_supergrid": "select p.position, (j // 2) as y, (i // 2) as x, 2.5::double*i as lon, 5.0::double*j - 20 as lat from (select a.range as j, b.range as i from range(9) a, range(13) b) join (values ('corner', 0, 0), ('v', 0, 1), ('u', 1, 0), ('center', 1, 1)) p(position, r, c) on j % 2 = r and i % 2 = c",
     }
