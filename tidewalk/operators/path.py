@@ -66,16 +66,22 @@ def _neighbours(s: Column, spec: GridSpec) -> list[Column]:
     return [F.struct(F.lit(n).alias("o"), j.cast("long").alias("j"), i.cast("long").alias("i")) for n, (j, i) in enumerate(at)]
 
 
-def walk(i1: Column, j1: Column, i2: Column, j2: Column, spec: GridSpec, digits: int | None = None) -> Column:
-    """Path from corner (j1, i1) to (j2, i2) as an array of (j, i), both ends included, over the row's ``glon`` and ``glat``.
+def _ends(legs: DataFrame, spec: GridSpec) -> DataFrame:
+    """Legs with the coordinates of both ends and the arc between them, which every step needs."""
+    at = {f"_{c}{n}": F.col(f"g{c}")[(F.col(f"j{n}") * spec.walk_x + F.col(f"i{n}")).cast("int")] for c in ("lon", "lat") for n in (1, 2)}
+    return legs.withColumns(at).withColumn("_whole", arc("_lon1", "_lat1", "_lon2", "_lat2"))
+
+
+def walk(spec: GridSpec, digits: int | None = None) -> Column:
+    """Path from corner (j1, i1) to (j2, i2) of a leg as an array of (j, i), both ends included, over the row's ``glon`` and ``glat``.
 
     ``digits`` rounds the angles that are compared, so that equal ones are equal on any machine.
     """
     nx, ny = spec.walk_x, spec.corners_y
+    i1, j1, i2, j2, whole = (F.col(c) for c in ("i1", "j1", "i2", "j2", "_whole"))
     lon, lat = (lambda j, i: F.col("glon")[(j * nx + i).cast("int")]), (lambda j, i: F.col("glat")[(j * nx + i).cast("int")])
-    to_end = lambda j, i: arc(lon(j, i), lat(j, i), lon(j2, i2), lat(j2, i2))
-    to_start = lambda j, i: arc(lon(j, i), lat(j, i), lon(j1, i1), lat(j1, i1))
-    whole = arc(lon(j1, i1), lat(j1, i1), lon(j2, i2), lat(j2, i2))
+    to_end = lambda j, i: arc(lon(j, i), lat(j, i), "_lon2", "_lat2")
+    to_start = lambda j, i: arc(lon(j, i), lat(j, i), "_lon1", "_lat1")
 
     def deviation(c):
         mean = (corner_angle(c.e, c.d, whole) + corner_angle(c.d, c.e, whole)) / 2
@@ -116,7 +122,7 @@ def composite(legs: DataFrame, spec: GridSpec, digits: int | None = None) -> Dat
 
     Legs are joined end to end: each gives up its last corner to the next one's first.
     """
-    held = legs.withColumn("path", walk(F.col("i1"), F.col("j1"), F.col("i2"), F.col("j2"), spec, digits))
+    held = _ends(legs, spec).withColumn("path", walk(spec, digits))
     held = held.withColumn("path", F.when(F.col("last"), F.col("path")).otherwise(F.slice("path", 1, F.size("path") - 1)))
     x = lambda p: (p.j * spec.walk_x + p.i).cast("int")
     points = held.select("section_id", "k", F.posexplode(F.transform("path", lambda p: F.struct(p.j.alias("j"), p.i.alias("i"), F.col("glon")[x(p)].alias("lon"), F.col("glat")[x(p)].alias("lat")))).alias("n", "p"))
