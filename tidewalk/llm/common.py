@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A-Z to a-z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Temporary folders of applications without a shared one.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
@@ -20,11 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidewalk-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='tidewalk-')}"
+        _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package as the driver does; a cluster gets it by --py-files or installation."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the JVM ends."""
     path = f"{shared_folder(spark)}/tidewalk/{name}-{uuid.uuid4().hex}"
@@ -48,6 +59,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in parts of so many rows, so that what is made of a part in Python stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import additive, impact, langid, language_model, mixing, pieces, secrets, simhash, toxicity
+from . import additive, common, impact, langid, language_model, mixing, pieces, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -60,9 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.evaluate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _importable(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.importable(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_simhash, op2_mixing, op3_secrets, op4_impact, op5_pieces, op6_langid, op7_additive, op8_token_counts, op9_language_model, op10_toxicity)
-    return {f.__name__: f for f in own}
+    return {f.__name__: _importable(f) for f in own}
 
 
 _QUOTED = [x.replace("'", "''") for x in (secrets.ASSIGN, secrets.ACCESS, r"[0-9a-f]{32,}", r"[A-Za-z0-9+/_-]{24,}", secrets.PLACEHOLDER)]
