@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, table_path
+from .common import as_text, sliced, table_path
 
 SPACE = "▁"
 
@@ -30,7 +32,7 @@ SPACE = "▁"
 class Memo(dict):
     """unit -> value, computed on a miss; two generations of ``most`` entries at most."""
 
-    def __init__(self, compute, most: int = 400_000):
+    def __init__(self, compute, most: int = 200_000):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 
@@ -107,7 +109,7 @@ class PieceCodec:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         self.pairs[left << 32 | right] = fits
         return fits
@@ -244,8 +246,8 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", doc_id: str =
 
     def run(batches):
         codec, memo = _codec(sent.value)
-        for b in batches:
-            n, a, d, lists = [], [], [], []
+        for b in sliced(batches):
+            n, a, d, flat, ends = [], [], [], array("i"), array("i", [0])
             for t in as_text(b.column(0)):
                 parts = list(map(memo.__getitem__, codec.cut(t)))
                 joined = ",".join([x for x, _ in parts])
@@ -254,8 +256,9 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", doc_id: str =
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 d.append(hashlib.sha256(back.encode()).hexdigest())
                 if ids:
-                    lists.append([int(i) for i in joined.split(",")] if joined else [])
-            more = [pa.array(lists, pa.list_(pa.int32()))] if ids else []
+                    flat.extend(map(int, joined.split(",") if joined else ()))
+                    ends.append(len(flat))
+            more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))] if ids else []
             columns = [b.column(i) for i in range(1, b.num_columns)] + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *more]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
@@ -330,7 +333,7 @@ def token_counts(docs: DataFrame, model: bytes, cache_path: str | None = None, t
 
     def run(batches):
         count = _counter(sent.value)
-        for b in batches:
+        for b in sliced(batches):
             n = [count(t) for t in as_text(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
