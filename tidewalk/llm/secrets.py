@@ -111,7 +111,8 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", marker:
     """
     found = scan(docs, text, doc_id, **how).where("size(spans) > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.filter("spans", lambda s: s.verdict != "example").alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_id", "_digest"])
-    held = docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_digest")), "left")
+    # documents with secrets grow with the corpus: joined by shuffle at every size
+    held = docs.join(found.hint("merge"), docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_digest")), "left")
     # state: the text so far, and where in the old text to go on
     step = lambda at, s: F.when(s.end <= at.pos, at).otherwise(
         F.struct(F.concat(at.out, F.when(s.start >= at.pos, F.concat(held[text].substr(at.pos + 1, s.start - at.pos), F.lit(marker))).otherwise(F.lit(""))).alias("out"), s.end.alias("pos"))

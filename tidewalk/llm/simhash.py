@@ -212,7 +212,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     """
     seen = near_duplicates(docs, text, doc_id, **how).where("doc_id = component_id")
     keep = cut(seen.groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    held = docs.join(keep, docs[doc_id].cast("long") == F.col("_keep"))
+    # the ids that stay grow with the corpus: joined by shuffle at every size
+    held = docs.join(keep.hint("merge"), docs[doc_id].cast("long") == F.col("_keep"))
     once = held.where("_n = 1").drop("_keep", "_n")
     more = held.where("_n > 1").drop("_keep", "_n").dropDuplicates([doc_id])
     return once.unionByName(more).unionByName(docs.where(docs[doc_id].isNull()))
