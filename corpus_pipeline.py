@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewalk.llm import mixing, pieces, queries, secrets, simhash, toxicity
+from tidewalk.llm import mixing, nearcopies, pieces, queries, secrets, toxicity
 from tidewalk.llm.common import cut, importable
 
 
@@ -21,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """One document of each class of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return nearcopies.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
