@@ -1,13 +1,12 @@
 """Language-model scores with a log-frequency Bloom filter.
 
-Counts of words and of word pairs, quantised on a log scale, are held in one Bloom filter of fixed size, which
-is broadcast: a gram of level q is stored under (gram, 1) .. (gram, q), and its level is read back by probing
+Counts of words and of word pairs, quantised on a log scale, are held in a Bloom filter that grows with them: a gram of level q is stored under (gram, 1) .. (gram, q), and its level is read back by probing
 (gram, 1), (gram, 2), ... until a probe fails.  The probability of a word after another interpolates the
 pair's count with the word's own, both read by such probes.
 
-The filter is cut into ranges of the grams' hash, each built on its own from the counts of all its grams.  If a
-range's grams don't fit in its bits at the intended fill, those with the lowest counts are left out, words and pairs
-alike, level by level; what is left out reads as unseen.  That rule holds at every size; the filter's bits are the bound of the broadcast.
+The filter is cut into ranges of the grams' hash, each built on its own from the counts of all its grams and sized for them,
+so that none is left out.  It is never in one place: the task that builds a range answers what each chunk of
+texts asks of it, and the answers are joined to the chunks.
 
 The plain add-one score beside it is exact: it joins each chunk's distinct words to the corpus counts.
 """
@@ -75,22 +74,38 @@ class CountFilter:
         return [(h + np.uint64(i) * step) & mask for i in range(probes)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's level, by probes of rising level until one fails."""
-        found = np.zeros(len(keys), dtype=np.int64)
-        at, base, suffix = np.arange(len(keys)), *split(keys, self.range_bits)
-        base = base.astype(np.uint64) << np.uint64(self.slice_bits)
-        q = 0
-        while len(at):
-            q += 1
-            for place in range(self.probes):
-                h, step = _probe(suffix, q)
-                spot = base + ((h + np.uint64(place) * step) & np.uint64((1 << self.slice_bits) - 1))
-                hit = (self.bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 != 0
-                at, base, suffix = at[hit], base[hit], suffix[hit]
-            found[at] = q
-            if q >= 128:
-                break
-        return found
+        """Each key's level."""
+        of, suffix = split(keys, self.range_bits)
+        return read_levels(self.bits, of.astype(np.uint64) << np.uint64(self.slice_bits), suffix, self.slice_bits, self.probes)
+
+
+@dataclass
+class Answers:
+    """Levels of some sorted keys, as the ranges gave them."""
+
+    keys: np.ndarray
+    found: np.ndarray
+    tokens: int
+    words: int
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def read_levels(bits: np.ndarray, base: np.ndarray, suffix: np.ndarray, slice_bits: int, probes: int) -> np.ndarray:
+    """Levels of suffixes in the slices that start at ``base``, by probes of rising level until one fails."""
+    found, at, q = np.zeros(len(suffix), dtype=np.int64), np.arange(len(suffix)), 0
+    while len(at):
+        q += 1
+        for place in range(probes):
+            h, step = _probe(suffix, q)
+            spot = base + ((h + np.uint64(place) * step) & np.uint64((1 << slice_bits) - 1))
+            hit = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 != 0
+            at, base, suffix = at[hit], base[hit], suffix[hit]
+        found[at] = q
+        if q >= 128:
+            break
+    return found
 
 
 def split(keys: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +127,28 @@ def _slice(suffix: np.ndarray, count: np.ndarray, slice_bits: int, probes: int)
     return np.packbits(on, bitorder="little")
 
 
+def _whole_bits(count: np.ndarray, least: int, probes: int) -> int:
+    """Bits (as a power of two) of a slice that all grams of these counts fill by half at most."""
+    need = int(level(count).sum()) * probes / np.log(2)
+    return max(least, int(np.ceil(np.log2(max(need, 1) + 1))))
+
+
+def _packed(suffix: np.ndarray) -> bytes:
+    """Sorted suffixes as differences, byte by byte, which compress."""
+    return np.diff(suffix, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _by_range(keys: np.ndarray, range_bits: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The ranges of sorted keys, all ranges' starts, and the suffixes."""
+    of, suffix = split(keys, range_bits)
+    starts = np.searchsorted(of, np.arange((1 << range_bits) + 1))
+    return [r for r in range(1 << range_bits) if starts[r] < starts[r + 1]], starts, suffix
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word, n)`` of all words and ends of ``training(text)``, as bytes."""
 
@@ -152,9 +189,10 @@ def _keys(texts: list[bytes], known: dict) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def train(training: DataFrame, tokens: int, words: int, filter_bits: int = 28, range_bits: int = 7, probes: int = 4) -> CountFilter:
-    """The filter over all texts of ``training(text)``: ``2**filter_bits`` bits in ``2**range_bits`` ranges.
+def answers(training: DataFrame, asked: DataFrame, filter_bits: int = 28, range_bits: int = 7, probes: int = 4) -> DataFrame:
+    """``(chunk, range, levels)``: the levels, a byte each, of all that ``asked(range, chunk, suffix)`` asks about ``training(text)``.
 
+    The filter has ``2**range_bits`` ranges and ``2**filter_bits`` bits at least; a range of more grams has more.
     A range is one task: give more range bits with more text (some 100 MB of distinct grams a range is well).
     """
     slice_bits = filter_bits - range_bits
@@ -165,12 +203,10 @@ def train(training: DataFrame, tokens: int, words: int, filter_bits: int = 28, r
 
         def out():
             keys, count = np.unique(np.concatenate(held), return_counts=True)
-            of, suffix = split(keys, range_bits)
-            starts = np.searchsorted(of, np.arange((1 << range_bits) + 1))
+            some, starts, suffix = _by_range(keys, range_bits)
             count = np.minimum(count, 2**31 - 1).astype(np.uint32)
-            some = [r for r in range(1 << range_bits) if starts[r] < starts[r + 1]]
-            part = lambda x: pa.array([x[starts[r] : starts[r + 1]].tobytes() for r in some], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), part(suffix), part(count)], names=["range", "suffix", "count"])
+            part = lambda x, f: pa.array([f(x[starts[r] : starts[r + 1]]) for r in some], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), part(suffix, _packed), part(count, np.ndarray.tobytes)], names=["range", "chunk", "suffix", "count"])
 
         for b in batches:
             texts = as_bytes(b.column(0))
@@ -187,36 +223,38 @@ def train(training: DataFrame, tokens: int, words: int, filter_bits: int = 28, r
         suffix, back = np.unique(np.concatenate(suffixes), return_inverse=True)
         return suffix, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
 
-    def reduce(batches):
-        at, suffixes, counts, n = None, [], [], 0
+    def answer(batches):
+        at, suffixes, counts, n, bits, own = None, [], [], 0, None, 0
         for b in batches:
-            for r, s, c in zip(*(col.to_pylist() for col in b.columns)):
-                if at is not None and r != at:
-                    yield done(at, suffixes, counts)
-                    suffixes, counts, n = [], [], 0
-                at = r
-                suffixes.append(np.frombuffer(s, dtype=np.uint32))
-                counts.append(np.frombuffer(c, dtype=np.uint32).astype(np.int64))
-                n += len(suffixes[-1])
-                if n > 2 * _FLUSH and len(suffixes) > 8:
-                    s, c = merged(suffixes, counts)
-                    suffixes, counts, n = [s], [c], 0
-        if at is not None:
-            yield done(at, suffixes, counts)
-
-    def done(at, suffixes, counts):
-        bits = _slice(*merged(suffixes, counts), slice_bits, probes)
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["range", "bits"])
-
-    blobs = training.select("text").mapInArrow(gather, "range int, suffix binary, count binary")
-    slices = blobs.repartition("range").sortWithinPartitions("range").mapInArrow(reduce, "range int, bits binary").toArrow()
-    bits = np.zeros((1 << range_bits, 1 << slice_bits - 3), dtype=np.uint8)
-    for r, x in zip(slices["range"].to_pylist(), slices["bits"]):
-        bits[r] = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-    return CountFilter(bits.reshape(-1), range_bits, slice_bits, probes, tokens, words)
-
-
-def text_scores(model: CountFilter, h: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
+            chunks, ranges, levels = [], [], []
+            for r, chunk, s, c in zip(*(b.column(i) for i in range(4))):
+                r, chunk, s = r.as_py(), chunk.as_py(), _unpacked(s.as_py())
+                if r != at:
+                    at, suffixes, counts, n, bits = r, [], [], 0, None
+                if chunk is None:  # a range's grams come before what is asked
+                    suffixes.append(s)
+                    counts.append(np.frombuffer(c.as_py(), dtype=np.uint32).astype(np.int64))
+                    n += len(s)
+                    if n > 2 * _FLUSH and len(suffixes) > 8:
+                        s, c = merged(suffixes, counts)
+                        suffixes, counts, n = [s], [c], 0
+                    continue
+                if bits is None and suffixes:
+                    suffix, count = merged(suffixes, counts)
+                    own = _whole_bits(count, slice_bits, probes)
+                    bits, suffixes, counts = _slice(suffix, count, own, probes), [], []
+                found = np.zeros(len(s)) if bits is None else read_levels(bits, np.zeros(len(s), dtype=np.uint64), s, own, probes)
+                chunks.append(chunk)
+                ranges.append(r)
+                levels.append(found.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ranges, pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "range", "levels"])
+
+    blobs = training.select("text").mapInArrow(gather, "range int, chunk long, suffix binary, count binary")
+    both = blobs.unionByName(asked.withColumn("count", F.lit(None).cast("binary")))
+    return both.repartition("range").sortWithinPartitions("range", F.asc_nulls_first("chunk")).mapInArrow(answer, "chunk long, range int, levels binary")
+
+
+def text_scores(model: CountFilter | Answers, h: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
     """log10 probability of each token of hash ``h``; ``first`` marks the tokens that start a text.
 
     P(w | v) = share * c(v, w) / c(v) + (1 - share) * P(w), and P(w) alone if v is unseen; P(w) = (c(w) + 1) / (N + V + 1).
@@ -243,7 +281,7 @@ def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulu
     training = rows.where("not held_out")
     counts = cut(word_counts(training), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    sent = docs.sparkSession.sparkContext.broadcast(train(training, n, v, **how))
+    range_bits = how.setdefault("range_bits", 7)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
@@ -254,8 +292,16 @@ def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulu
             seen.update(t.translate(LOWER).split())
         return pa.table([pa.array([table["chunk"][0].as_py()] * len(seen), pa.int64()), pa.array(list(seen), pa.binary())], names=["chunk", "word"])
 
-    def score(table: pa.Table, words: pa.Table) -> pa.Table:
-        model = sent.value
+    def ask(table: pa.Table) -> pa.Table:
+        texts = as_bytes(table["text"].combine_chunks())
+        known: dict = {}
+        keys = np.unique(np.concatenate([np.unique(_keys(texts[at : at + 64], known)) for at in range(0, len(texts), 64)]))
+        some, starts, suffix = _by_range(keys, range_bits)
+        part = [_packed(suffix[starts[r] : starts[r + 1]]) for r in some]
+        return pa.table([pa.array(some, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), pa.array(part, pa.binary())], names=["range", "chunk", "suffix"])
+
+    def score(table: pa.Table, given: pa.Table) -> pa.Table:
+        told, words = given.filter(given["levels"].is_valid()).sort_by("range"), given.filter(given["word"].is_valid())
         listed = words["word"].to_pylist()
         place = {w: i for i, w in enumerate(listed)}
         count = words["n"].to_numpy()
@@ -269,6 +315,10 @@ def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulu
         at, lengths = np.concatenate(ids), np.array(lengths)
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         total = lambda x: np.add.reduceat(x, starts)
+        before = np.r_[_START, h[at][:-1]]
+        before[starts] = _START
+        keys = np.unique(np.r_[pair_keys(before, h[at]), word_keys(np.r_[h, _START])])
+        model = Answers(keys, np.frombuffer(b"".join(told["levels"].to_pylist()), dtype=np.uint8).astype(np.int64), n, v)
         base = total(gain[at]) - lengths * np.log10(model.tokens + model.words + 1.0)
         score = total(text_scores(model, h[at], starts, share))
         columns = [table["doc_id"], table["held_out"], pa.array(lengths.astype(np.int64)), pa.array(total(known[at].astype(np.int64))), pa.array([model.tokens] * len(lengths), pa.int64()), pa.array(base), pa.array(score)]
@@ -277,4 +327,6 @@ def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulu
     found = dealt.groupBy("chunk").applyInArrow(vocabulary, "chunk long, word binary").join(counts, "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0)).alias("n"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "range int, chunk long, suffix binary")
+    found = found.unionByName(answers(training, asked, **how), allowMissingColumns=True)
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, schema)
