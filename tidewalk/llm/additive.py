@@ -2,7 +2,7 @@
 
 A unit vector is coded as the sum of one full-dimensional codeword of each codebook, found by
 beam search; codebooks are trained one after the other on residuals, over a bounded sample.  Each row stores its
-codes and the norm of the sum.  A query makes one table of inner products with all codewords, scores
+codes and the norm of the sum.  Equal vectors are coded once, with all their ids.  A query makes one table of inner products with all codewords, scores
 every row by looking its codes up and the stored norm, and reranks the best exactly
 on the original vectors.
 """
@@ -72,7 +72,14 @@ class AdditiveIndex:
     """Codes and norms of a block of vectors, and the vectors themselves for the last step."""
 
     def __init__(self, ids, vectors, books: np.ndarray, beam: int, rerank: int):
-        self.ids, self.rows, self.books, self.rerank = np.asarray(ids, dtype=np.int64), search.padded(vectors), books, rerank
+        self.books, self.rerank = books, rerank
+        self.rows, of = np.unique(search.padded(vectors), axis=0, return_inverse=True)  # copies have one code, and one place in the cut
+        ids, of = np.asarray(ids, dtype=np.int64), of.ravel()
+        order = np.lexsort((ids, of))
+        self.ids = np.split(ids[order], np.cumsum(np.bincount(of))[:-1])  # of each distinct vector, rising
+        self.holds: dict[int, set[int]] = {}
+        for i, x in zip(ids.tolist(), of.tolist()):
+            self.holds.setdefault(i, set()).add(x)
         self.length = np.sqrt((self.rows**2).sum(1))
         width = books.shape[2]
         unit = np.array([search.matched(x, width) for x in self.rows / self.length[:, None]], dtype=np.float32)
@@ -87,14 +94,21 @@ class AdditiveIndex:
         for table, code in zip(tables[1:], self.codes[1:]):
             guess += table[code]
         guess /= self.norm
-        guess[self.ids == query_id] = -np.inf
-        few = min(self.rerank, len(guess))
-        some = np.argpartition(-guess, few - 1)[:few]
-        some = some[self.ids[some] != query_id]
+        few = min(self.rerank + len(self.holds.get(query_id, ())), len(guess))
+        some = np.flatnonzero(guess >= -np.partition(-guess, few - 1)[few - 1])  # equal guesses are never cut apart
         q = search.matched(x, dims)
         exact = (self.rows[some] * q).sum(1) / (self.length[some] * np.sqrt((x * x).sum()))
-        best = search.top(self.ids[some], exact, k)
-        return self.ids[some][best].tolist(), exact[best].tolist()
+        ids, scores = [], []
+        for at in np.argsort(-exact, kind="stable").tolist():
+            if len(ids) >= k and exact[at] < scores[-1]:
+                break
+            own = self.ids[some[at]]
+            own = own[own != query_id][:k].tolist()
+            ids += own
+            scores += [exact[at]] * len(own)
+        ids, scores = np.array(ids, dtype=np.int64), np.array(scores, dtype=np.float64)
+        best = search.top(ids, scores, k)
+        return ids[best].tolist(), scores[best].tolist()
 
 
 def nearest(
@@ -103,8 +117,8 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its ``k`` nearest other rows found, score the exact cosine.
 
-    Every row is indexed; codebooks are trained on the ``sample`` rows with the smallest hashes.  ``rerank`` rows of each block are compared
-    exactly.  Ties go to the smaller id; fewer candidates give fewer rows.  Null, empty and zero vectors, and those with null
+    Every row is indexed; codebooks are trained on the ``sample`` rows with the smallest hashes.  ``rerank`` distinct vectors of each block, and
+    those of equal guess, are compared exactly.  Ties go to the smaller id; fewer candidates give fewer rows.  Null, empty and zero vectors, and those with null
     or non-finite components, take no part; shorter vectors count as filled up with zeros.  A row never finds rows of its own id.
     """
     x = F.col(vector).cast("array<double>")
