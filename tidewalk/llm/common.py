@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only where the session has none, as in local tests, a temporary one is made.
+    Only a local session without either, as in tests, gets a temporary one; on a cluster that is an error.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='tidewalk-')}"
         _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
@@ -51,7 +54,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidewalk_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete what ``cut`` wrote; nothing may read it any more."""
+    jpath = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._tidewalk_path)
+    jpath.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, a cut table that has each key once and in ``n`` how many rows have it.
+
+    Keys that hold more than 1 / ``most`` of the rows, of which there can be ``most`` at most, are broadcast, and their rows are dealt out by
+    all their columns; the others meet by shuffle at every size.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    more = [c for c in table.columns if c not in (key, n)]
+    packed = table.select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(F.lit(1).alias("_there"), *more).alias("_row"), n)
+    hot, rest = packed.where(F.col(n) > total / most), packed.where(F.col(n) <= total / most)
+    held = rows.join(F.broadcast(hot.select(F.col("_key").alias("_hot"), F.col("_row").alias("_hot_row"))), F.col(key) == F.col("_hot"), "left").drop("_hot")
+    held = held.withColumn("_dealt", F.when(F.col("_hot_row").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))))
+    held = held.join(rest.drop(n).hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_dealt") == F.col("_salt")), "left")
+    held = held.withColumn("_row", F.coalesce("_hot_row", "_row")).where("_row is not null")
+    return held.select(*rows.columns, *(F.col("_row")[c].alias(c) for c in more))
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

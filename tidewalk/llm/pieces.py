@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_text, sliced, table_path
+from .common import as_text, cut, sliced, spread_join, table_path
 
 SPACE = "▁"
 
@@ -54,10 +54,21 @@ def _separable(pieces) -> tuple[bool, bool]:
 
 
 class PieceCodec:
-    """Encoder and decoder of a SentencePiece BPE model with a dummy prefix and byte fallback."""
+    """Encoder and decoder of a SentencePiece BPE model with a dummy prefix, no other normalisation, and no escaped spaces removed.
+
+    Models of other kinds are refused.
+    """
+
+    #: Texts by which a model of another kind is told.
+    PROBES = ("the  hand of\tstone ", " \ufb01\u00e9\u3000A\u0301 x", "unbelievable internationalisation", "a\n\nb", "12,345")
 
     def __init__(self, model: bytes):
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self._read(lib)
+        if any(lib.normalize(t) != SPACE + t.replace(" ", SPACE) or self.encode(t) != lib.encode(t) for t in self.PROBES):
+            raise ValueError("not a BPE model with a dummy prefix and plain text")
+
+    def _read(self, lib) -> None:
         self.size, self.unk = lib.get_piece_size(), lib.unk_id()
         self.piece = [lib.id_to_piece(i) for i in range(self.size)]
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(self.size) if lib.is_byte(i)}
@@ -312,9 +323,9 @@ def token_counts(docs: DataFrame, model: bytes, cache_path: str | None = None, t
 
     The cache is a Parquet table (digest, tokenizer, n_tokens) at ``cache_path``, one in the
     shared folder for this call only by default.  Digests are of the text with the space mark
-    written as a space, which the tokenizer can't tell apart.  Only texts whose digest is not there for this tokenizer
-    version are encoded, each once, and their counts appended; a repeated append after a
-    failure does no harm.  Null texts count as empty; null ids and repeated rows are kept; other columns are ignored; an empty table gives
+    written as a space, which the tokenizer can't tell apart.  Digests alone are joined to the cache; texts move only if some digest is not there for this tokenizer
+    version, and then one row of each such digest is encoded and its count appended; a repeated append after a
+    failure does no harm.  Null texts count as empty, long ones are read whole; null ids and repeated rows are kept; other columns, whatever their names, are ignored; an empty table gives
     an empty result.
     """
     spark = docs.sparkSession
@@ -324,19 +335,30 @@ def token_counts(docs: DataFrame, model: bytes, cache_path: str | None = None, t
     there = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
     schema = "digest binary, tokenizer string, n_tokens long"
     stored = lambda: spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    plain = F.replace(whole, F.lit(SPACE), F.lit(" "))
     digest = F.unhex(F.sha2(plain, 256)).alias("digest")
-    texts = docs.select(digest, plain.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    if there:
-        texts = texts.join(stored(), "digest", "left_anti")
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), digest, F.octet_length(whole).cast("long").alias("n_bytes")), "digests")
+    # of each digest its number of rows, and one of their ids
+    distinct = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "distinct")
+    misses = cut(distinct.join(stored(), "digest", "left_anti"), "misses") if there else distinct
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        count = _counter(sent.value)
+        count, last = _counter(sent.value), None
         for b in sliced(batches):
-            n = [count(t) for t in as_text(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
-
-    texts.mapInArrow(run, schema).write.mode("append").parquet(cache_path)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
-    return rows.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            found, n = [], []
+            for d, t in zip(b.column(0).to_pylist(), as_text(b.column(1))):
+                if d != last:  # repeated rows stand side by side
+                    found.append(d)
+                    n.append(count(t))
+                    last = d
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
+
+    if not there or not misses.isEmpty():
+        own = misses.select(F.col("digest").alias("_digest"), "first").hint("merge")
+        texts = docs.select(F.col(doc_id).alias("doc_id"), digest, plain.alias("text"))
+        texts = texts.join(own, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", "text")
+        texts.mapInArrow(run, schema).write.mode("append").parquet(cache_path)
+    counts = cut(distinct.select("digest", "n").join(stored(), "digest"), "counts")
+    return spread_join(rows, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
