@@ -1,51 +1,144 @@
 """Language-model scores with a log-frequency Bloom filter.
 
-Counts of words and of word pairs, quantised on a log scale, are held in a Bloom filter that grows with them: a gram of level q is stored under (gram, 1) .. (gram, q), and its level is read back by probing
-(gram, 1), (gram, 2), ... until a probe fails.  The probability of a word after another interpolates the
-pair's count with the word's own, both read by such probes.
+Counts of words, word pairs and word triples, quantised on a log scale, are held in a Bloom filter: a gram of level q is
+stored under (gram, 1) .. (gram, q), and its level is read back by probing (gram, 1), (gram, 2), ... until a probe fails.
+Probabilities are smoothed from such probes: a triple's share of its pair is mixed with the pair's share of its word, and that
+with the word's own share, each the more the rarer the context is.
 
-The filter is cut into ranges of the grams' hash, each built on its own from the counts of all its grams and sized for them,
-so that none is left out.  It is never in one place: the task that builds a range answers what each chunk of
-texts asks of it, and the answers are joined to the chunks.
+The filter is cut into ranges of the grams' hash.  Each range is built by one task from the counts of all its grams and sized
+for them, so no gram is left out at any size; there are as many ranges as the text needs.  Up to ``most_bytes`` the filter is
+broadcast.  A larger one stays in the shared folder: each chunk of texts then asks each range for its grams, and the answers, the same
+as a broadcast filter's, come back to the chunk.
 
-The plain add-one score beside it is exact: it joins each chunk's distinct words to the corpus counts.
+The plain add-one score beside it is exact: each chunk's distinct words are joined to the corpus counts, by ranges as well.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER, as_bytes, cut, fold, mix64
 
 END = b""  # no word is empty
-_START, _PAIR, _WORD = np.uint64(0x5D1E57A7), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_FLUSH = 4_000_000
+_START, _PAIR, _TRIPLE, _WORD = np.uint64(0x5D1E57A7), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0xE7037ED1A0B428DB)
+_FLUSH = 2_000_000
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+# --- texts ----------------------------------------------------------------------------------------
+
+
+_BYTE = mix64(np.arange(7001, 7257, dtype=np.uint64))
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BASE, _WINDOW = 0x9E3779B97F4A7C15, 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ``raw[start:end]``: a polynomial of its bytes from running sums, a window of the texts at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    edges = np.searchsorted(starts, np.arange(0, len(raw) + _WINDOW, _WINDOW)).tolist()
+    for a, b in zip(edges, edges[1:]):
+        if a == b:
+            continue
+        low, high = int(starts[a]), int(ends[b - 1])
+        if not _powers or len(_powers[0]) <= high - low:
+            n = max(high - low, _WINDOW) + 256
+            _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, dtype=np.uint64)]) for x in (_BASE, pow(_BASE, -1, 2**64))]
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw[low:high]] * _powers[1][: high - low], out=sums[1:])
+        first, last = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = (sums[last] - sums[first]) * _powers[0][last]
+    return mix64(out + (ends - starts).astype(np.uint64))
+
+
+def _once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values' first places, in the values' order, and each value's rank."""
+    low = int(len(h)).bit_length()
+    mask = np.uint64((1 << low) - 1)
+    both = np.sort((h & ~mask) | np.arange(len(h), dtype=np.uint64))
+    order = (both & mask).astype(np.int64)
+    new = np.r_[True, h[order[1:]] != h[order[:-1]]]
+    if (new[1:] & (both[1:] & ~mask == both[:-1] & ~mask)).any():  # values that differ in their last bits only
+        _, first, rank = np.unique(h, return_index=True, return_inverse=True)
+        return first, rank
+    rank = np.empty(len(h), dtype=np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
 
 
-def _probe(suffix: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and step of a gram's probes at a level."""
-    h = mix64(suffix.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    return h, (h >> np.uint64(33)) | np.uint64(1)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+@dataclass
+class Tokens:
+    """The words of some texts, each distinct one once, in order of their hashes."""
 
+    words: list[bytes]
+    h: np.ndarray  # of the distinct words, rising
+    at: np.ndarray  # each token's word
+    starts: np.ndarray  # of each text
 
-def pair_keys(first: np.ndarray, then: np.ndarray) -> np.ndarray:
-    return mix64(mix64(first ^ _PAIR) + then)
+    @staticmethod
+    def of(texts: list[bytes]) -> Tokens:
+        joined = b"\n".join(texts).translate(LOWER)
+        raw = np.frombuffer(joined, dtype=np.uint8) if joined else np.zeros(0, dtype=np.uint8)
+        blank = np.r_[True, _BLANK[raw], True]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        first, last = edges[0::2], edges[1::2]
+        h = np.r_[_hashes(raw, first, last), np.uint64(0)]  # 0 is the end
+        places, rank = _once(h)
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        text = np.searchsorted(offsets, first, side="right") - 1
+        n = np.bincount(text, minlength=len(texts))
+        at = np.empty(len(first) + len(texts), dtype=np.int64)
+        ends = np.cumsum(n + 1) - 1
+        at[np.arange(len(first)) + text] = rank[:-1]
+        at[ends] = rank[-1]
+        first, last = np.r_[first, 0][places], np.r_[last, 0][places]
+        return Tokens([joined[a:b] for a, b in zip(first.tolist(), last.tolist())], h[places], at, np.r_[0, ends[:-1] + 1])
+
+    def _before(self, of_word: np.ndarray, of_start: np.uint64) -> np.ndarray:
+        """A number of each token's predecessor."""
+        out = np.empty(len(self.at), dtype=np.uint64)
+        out[1:] = of_word[self.at[:-1]]
+        out[self.starts] = of_start
+        return out
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the pair and the triple that end at each token, and which tokens have a triple (all but a text's first)."""
+        start = np.array([_START])
+        pairs = mix64(self._before(mix64(self.h ^ _PAIR), mix64(start ^ _PAIR)[0]) + self.h[self.at])
+        first, lone = mix64(self.h ^ _TRIPLE), mix64(start ^ _TRIPLE)[0]
+        two = self._before(first, lone)
+        two[1:] = two[:-1].copy()  # the predecessor's predecessor; wrong for a text's first token only, which has no triple
+        inner = np.ones(len(self.at), dtype=bool)
+        inner[self.starts] = False
+        return pairs, mix64(two + pairs), inner
 
 
 def word_keys(h: np.ndarray) -> np.ndarray:
     return mix64(h ^ _WORD)
 
 
+def portions(texts: list[bytes], most: int = 4 << 20):
+    """The texts in parts of about so many bytes."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t) + 64
+        if n > most:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+# --- the filter -----------------------------------------------------------------------------------
+
+
 def level(count: np.ndarray) -> np.ndarray:
     """1 for a count of 1, and one more for each factor of the root of two."""
     return 1 + np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9).astype(np.int64)
@@ -57,26 +150,101 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (low + np.maximum(high, low)) / 2, 0.0)
 
 
+def split(keys: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's range, its highest bits, and the 32 bits after them."""
+    of = (keys >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(keys), dtype=np.int64)
+    return of, ((keys << np.uint64(range_bits)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _spots(suffix: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of a suffix's probes at level ``q``, of 32 bits."""
+    h = mix64(suffix.astype(np.uint64) + np.uint64(q * 0x9E3779B97F4A7C15 % 2**64))
+    return h & _LOW, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _bit(h: np.ndarray, step: np.ndarray, i: int, room) -> np.ndarray:
+    return (((h + np.uint64(i) * step) & _LOW) * room) >> np.uint64(32)
+
+
+def filled(suffix: np.ndarray, count: np.ndarray, probes: int) -> tuple[int, np.ndarray]:
+    """The number of bits that all of a range's grams fill by half, and the bits."""
+    q = level(count)
+    room = min(max(64, int(np.ceil(int(q.sum()) * probes / np.log(2)))), 2**32 - 1)
+    on = np.zeros(room, dtype=bool)
+    order = np.argsort(-q, kind="stable")
+    suffix, q = suffix[order], q[order]
+    for i in range(1, int(q.max(initial=0)) + 1):
+        h, step = _spots(suffix[: np.searchsorted(-q, -i, side="right")], i)
+        for place in range(probes):
+            on[_bit(h, step, place, np.uint64(room)).astype(np.int64)] = True
+    return room, np.packbits(on, bitorder="little")
+
+
+def read_levels(bits: np.ndarray, base: np.ndarray, room: np.ndarray, suffix: np.ndarray, probes: int) -> np.ndarray:
+    """Levels of suffixes in ranges of ``room`` bits from bit ``base``, by probes of rising level until one fails."""
+    found, at, q = np.zeros(len(suffix), dtype=np.int64), None, 0
+    while len(suffix) and q < 128:
+        q += 1
+        h, step = _spots(suffix, q)
+        hit = np.uint8(1)
+        for _ in range(probes):
+            spot = h & _LOW
+            spot *= room
+            spot >>= np.uint64(32)
+            spot += base
+            shift = spot.astype(np.uint8)
+            shift &= np.uint8(7)
+            spot >>= np.uint64(3)
+            on = bits.take(spot.view(np.int64))
+            on >>= shift
+            hit = on & hit
+            h += step
+        hit = np.flatnonzero(hit)
+        at, base, room, suffix = hit if at is None else at[hit], base[hit], room[hit], suffix[hit]
+        found[at] = q
+    return found
+
+
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that differ in their first ``bits`` bits, rising, and each key's place among them."""
+    low = max(1, int(len(keys) - 1).bit_length())
+    if bits + low > 64:
+        return np.unique(keys, return_inverse=True)
+    mask = np.uint64((1 << low) - 1)
+    both = np.sort((keys & ~mask) | np.arange(len(keys), dtype=np.uint64))
+    order, both = (both & mask).astype(np.int64), both & ~mask
+    new = np.r_[True, both[1:] != both[:-1]] if len(both) else np.zeros(0, dtype=bool)
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return both[new], back
+
+
 @dataclass
 class CountFilter:
-    """``2**range_bits`` slices of ``2**slice_bits`` bits each."""
+    """All ranges' bits one after the other."""
 
     bits: np.ndarray  # bytes
+    base: np.ndarray  # first bit of each range
+    room: np.ndarray  # bits of each range
     range_bits: int
-    slice_bits: int
     probes: int
-    tokens: int  # of the training texts
-    words: int  # distinct
-
-    @staticmethod
-    def places(suffix: np.ndarray, level: int, probes: int, slice_bits: int) -> list[np.ndarray]:
-        (h, step), mask = _probe(suffix, level), np.uint64((1 << slice_bits) - 1)
-        return [(h + np.uint64(i) * step) & mask for i in range(probes)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's level."""
-        of, suffix = split(keys, self.range_bits)
-        return read_levels(self.bits, of.astype(np.uint64) << np.uint64(self.slice_bits), suffix, self.slice_bits, self.probes)
+        own, back = distinct(keys, self.range_bits + 32)
+        of, suffix = split(own, self.range_bits)
+        return read_levels(self.bits, self.base[of], self.room[of], suffix, self.probes)[back]
+
+
+def collected(ranges: DataFrame, size: int, range_bits: int, probes: int) -> CountFilter:
+    """The filter of ``ranges(range, room, bits)``, of ``size`` bytes in all, a sixteenth of the ranges at a time."""
+    bits, base, room = np.zeros(size + 8, dtype=np.uint8), np.zeros(1 << range_bits, dtype=np.uint64), np.full(1 << range_bits, 64, dtype=np.uint64)
+    at, step = 8, max(1, (1 << range_bits) // 16)  # a range without grams has the first 64 bits, all empty
+    for low in range(0, 1 << range_bits, step):
+        for r, n, part in ranges.where(F.col("range").between(low, low + step - 1)).select("range", "room", "bits").toLocalIterator():
+            base[r], room[r] = 8 * at, n
+            bits[at : at + len(part)] = np.frombuffer(part, dtype=np.uint8)
+            at += len(part)
+    return CountFilter(bits, base, room, range_bits, probes)
 
 
 @dataclass
@@ -85,248 +253,225 @@ class Answers:
 
     keys: np.ndarray
     found: np.ndarray
-    tokens: int
-    words: int
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         return self.found[np.searchsorted(self.keys, keys)]
 
 
-def read_levels(bits: np.ndarray, base: np.ndarray, suffix: np.ndarray, slice_bits: int, probes: int) -> np.ndarray:
-    """Levels of suffixes in the slices that start at ``base``, by probes of rising level until one fails."""
-    found, at, q = np.zeros(len(suffix), dtype=np.int64), np.arange(len(suffix)), 0
-    while len(at):
-        q += 1
-        for place in range(probes):
-            h, step = _probe(suffix, q)
-            spot = base + ((h + np.uint64(place) * step) & np.uint64((1 << slice_bits) - 1))
-            hit = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 != 0
-            at, base, suffix = at[hit], base[hit], suffix[hit]
-        found[at] = q
-        if q >= 128:
-            break
-    return found
+# --- blobs ----------------------------------------------------------------------------------------
 
 
-def split(keys: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key's range, its highest bits, and the 32 bits after them."""
-    return (keys >> np.uint64(64 - range_bits)).astype(np.int64), ((keys << np.uint64(range_bits)) >> np.uint64(32)).astype(np.uint32)
-
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of all, which compresses."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-def _slice(suffix: np.ndarray, count: np.ndarray, slice_bits: int, probes: int) -> np.ndarray:
-    """One range's bits.  Grams go in from the highest count down, as long as the slice stays half full at most."""
-    q = level(count)
-    room = (1 << slice_bits) * np.log(2) / probes
-    need = np.bincount(q, weights=q, minlength=2)  # entries by level of the gram
-    least = len(need) - int(np.searchsorted(np.cumsum(need[::-1]), room, side="right"))
-    suffix, q = suffix[q >= least], q[q >= least]
-    on = np.zeros(1 << slice_bits, dtype=bool)
-    for i in range(1, int(q.max(initial=0)) + 1):
-        for place in CountFilter.places(suffix[q >= i], i, probes, slice_bits):
-            on[place.astype(np.int64)] = True
-    return np.packbits(on, bitorder="little")
 
-
-def _whole_bits(count: np.ndarray, least: int, probes: int) -> int:
-    """Bits (as a power of two) of a slice that all grams of these counts fill by half at most."""
-    need = int(level(count).sum()) * probes / np.log(2)
-    return max(least, int(np.ceil(np.log2(max(need, 1) + 1))))
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def _packed(suffix: np.ndarray) -> bytes:
-    """Sorted suffixes as differences, byte by byte, which compress."""
-    return np.diff(suffix, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted suffixes as differences."""
+    return _planes(np.diff(suffix, prepend=np.uint32(0)))
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
-
-
-def _by_range(keys: np.ndarray, range_bits: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """The ranges of sorted keys, all ranges' starts, and the suffixes."""
-    of, suffix = split(keys, range_bits)
-    starts = np.searchsorted(of, np.arange((1 << range_bits) + 1))
-    return [r for r in range(1 << range_bits) if starts[r] < starts[r + 1]], starts, suffix
+    return np.cumsum(_from_planes(x), dtype=np.uint32)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``(word, n)`` of all words and ends of ``training(text)``, as bytes."""
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Range, start and end of the ranges that sorted keys have."""
+    of = split(keys, bits)[0]
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.array([], dtype=np.int64)
+    return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)]))
 
-    def run(batches):
-        held: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+def _table(schema: str, **columns) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.table({n: pa.array(columns[n], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
 
-        for b in batches:
-            for t in as_bytes(b.column(0)):
-                held.update(t.translate(LOWER).split())
-                held[END] += 1
-                if len(held) > 400_000:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
 
-    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+_GRAMS = "range int, suffix binary, words binary, count binary"
+_RANGES = "range int, room long, bits binary, words binary, count binary, n long, v long"
+_ASKED = "range int, chunk long, suffix binary, words binary"
+_TOLD = "chunk long, range int, levels binary, count binary"
 
 
-def _keys(texts: list[bytes], known: dict) -> np.ndarray:
-    """Keys of all words and pairs of some texts; ``known`` maps words to their hashes."""
-    parts = []
-    for t in texts:
-        words = t.translate(LOWER).split()
-        words.append(END)
-        h = []
-        for w in words:
-            if (x := known.get(w)) is None:
-                if len(known) > 400_000:
-                    known.clear()
-                x = known[w] = xxhash.xxh64_intdigest(w)
-            h.append(x)
-        h = np.array(h, dtype=np.uint64)
-        parts += [pair_keys(np.r_[_START, h[:-1]], h), word_keys(h), word_keys(np.array([_START]))]
-    return np.concatenate(parts)
-
-
-def answers(training: DataFrame, asked: DataFrame, filter_bits: int = 28, range_bits: int = 7, probes: int = 4) -> DataFrame:
-    """``(chunk, range, levels)``: the levels, a byte each, of all that ``asked(range, chunk, suffix)`` asks about ``training(text)``.
-
-    The filter has ``2**range_bits`` ranges and ``2**filter_bits`` bits at least; a range of more grams has more.
-    A range is one task: give more range bits with more text (some 100 MB of distinct grams a range is well).
-    """
-    slice_bits = filter_bits - range_bits
+def _counted(training: DataFrame, range_bits: int) -> DataFrame:
+    """Each part of the texts gives each range its grams' suffixes and, apart, its words, with their counts."""
 
-    def gather(batches):
-        known: dict = {}
-        held, n = [], 0
+    def run(batches):
+        held, n, seen = [], 0, {}
 
         def out():
+            words = sorted(seen, key=seen.__getitem__)
+            h, own = (np.array([seen[w][i] for w in words], dtype=np.uint64) for i in (0, 1))
             keys, count = np.unique(np.concatenate(held), return_counts=True)
-            some, starts, suffix = _by_range(keys, range_bits)
-            count = np.minimum(count, 2**31 - 1).astype(np.uint32)
-            part = lambda x, f: pa.array([f(x[starts[r] : starts[r + 1]]) for r in some], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), part(suffix, _packed), part(count, np.ndarray.tobytes)], names=["range", "chunk", "suffix", "count"])
+            keys, count = np.r_[keys, word_keys(h)], np.r_[count, own.astype(np.int64)]
+            order = np.argsort(keys, kind="stable")
+            keys, count = keys[order], np.minimum(count[order], 2**32 - 1)
+            suffix = split(keys, range_bits)[1]
+            rows = [(r, _packed(suffix[a:b]), None, _planes(count[a:b])) for r, a, b in _cuts(keys, range_bits)]
+            rows += [(r, None, b" ".join(words[a:b]), _planes(own[a:b])) for r, a, b in _cuts(h, range_bits)]
+            r, s, w, c = zip(*rows)
+            return _table(_GRAMS, range=r, suffix=s, words=w, count=c).to_batches()
 
         for b in batches:
-            texts = as_bytes(b.column(0))
-            for at in range(0, len(texts), 64):
-                held.append(_keys(texts[at : at + 64], known))
-                n += len(held[-1])
+            for part in portions(as_bytes(b.column(0))):
+                t = Tokens.of(part)
+                pairs, triples, inner = t.keys()
+                held += [pairs, triples[inner], word_keys(np.full(len(t.starts), _START))]
+                n += len(t.at)
+                for w, h, c in zip(t.words, t.h.tolist(), np.bincount(t.at, minlength=len(t.words)).tolist()):
+                    had = seen.get(w)
+                    seen[w] = (h, c if had is None else had[1] + c)
                 if n > _FLUSH:
-                    yield out()
-                    held, n = [], 0
+                    yield from out()
+                    held, n, seen = [], 0, {}
         if held:
-            yield out()
+            yield from out()
 
-    def merged(suffixes, counts):
-        suffix, back = np.unique(np.concatenate(suffixes), return_inverse=True)
-        return suffix, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+    return training.select("text").mapInArrow(run, _GRAMS)
 
-    def answer(batches):
-        at, suffixes, counts, n, bits, own = None, [], [], 0, None, 0
-        for b in batches:
-            chunks, ranges, levels = [], [], []
-            for r, chunk, s, c in zip(*(b.column(i) for i in range(4))):
-                r, chunk, s = r.as_py(), chunk.as_py(), _unpacked(s.as_py())
-                if r != at:
-                    at, suffixes, counts, n, bits = r, [], [], 0, None
-                if chunk is None:  # a range's grams come before what is asked
-                    suffixes.append(s)
-                    counts.append(np.frombuffer(c.as_py(), dtype=np.uint32).astype(np.int64))
-                    n += len(s)
-                    if n > 2 * _FLUSH and len(suffixes) > 8:
-                        s, c = merged(suffixes, counts)
-                        suffixes, counts, n = [s], [c], 0
-                    continue
-                if bits is None and suffixes:
-                    suffix, count = merged(suffixes, counts)
-                    own = _whole_bits(count, slice_bits, probes)
-                    bits, suffixes, counts = _slice(suffix, count, own, probes), [], []
-                found = np.zeros(len(s)) if bits is None else read_levels(bits, np.zeros(len(s), dtype=np.uint64), s, own, probes)
-                chunks.append(chunk)
-                ranges.append(r)
-                levels.append(found.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ranges, pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "range", "levels"])
-
-    blobs = training.select("text").mapInArrow(gather, "range int, chunk long, suffix binary, count binary")
-    both = blobs.unionByName(asked.withColumn("count", F.lit(None).cast("binary")))
-    return both.repartition("range").sortWithinPartitions("range", F.asc_nulls_first("chunk")).mapInArrow(answer, "chunk long, range int, levels binary")
-
-
-def text_scores(model: CountFilter | Answers, h: np.ndarray, first: np.ndarray, share: float) -> np.ndarray:
-    """log10 probability of each token of hash ``h``; ``first`` marks the tokens that start a text.
-
-    P(w | v) = share * c(v, w) / c(v) + (1 - share) * P(w), and P(w) alone if v is unseen; P(w) = (c(w) + 1) / (N + V + 1).
+
+def _merged(suffixes, counts):
+    suffix, back = np.unique(np.concatenate(suffixes), return_inverse=True)
+    return suffix, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def train(training: DataFrame, range_bits: int = 7, probes: int = 4) -> DataFrame:
+    """The filter of ``training(text)`` as a table ``(range, room, bits, words, count, n, v)`` in the shared folder.
+
+    Beside a range's bits stand its words with their exact counts, the number of tokens ``n`` and of distinct words ``v``.  A range is
+    one task: give more range bits with more text (some 100 MB of texts a range is well).
     """
-    before = np.r_[_START, h[:-1]]
-    before[first] = _START
-    known, back = np.unique(np.r_[h, np.array([_START])], return_inverse=True)
-    counts = expected(model.levels(word_keys(known)))[back]
-    own = counts[:-1]
-    context = np.r_[counts[-1], own[:-1]]
-    context[first] = counts[-1]
-    pair = np.minimum(expected(model.levels(pair_keys(before, h))), np.minimum(context, own))
-    single = (own + 1) / (model.tokens + model.words + 1)
-    return np.log10(np.where(context > 0, share * pair / np.maximum(context, 1) + (1 - share) * single, single))
-
-
-def evaluate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, share: float = 0.4, chunk_bytes: int = 8 << 20, **how) -> DataFrame:
+
+    def build(table: pa.Table) -> pa.Table:
+        suffixes, counts, total, n = [], [], defaultdict(int), 0
+        for s, w, c in zip(*(table[x].to_pylist() for x in ("suffix", "words", "count"))):
+            c = _from_planes(c)
+            if w is not None:
+                for word, k in zip(w.split(b" "), c.tolist()):
+                    total[word] += k
+                continue
+            suffixes.append(_unpacked(s))
+            counts.append(c.astype(np.int64))
+            n += len(c)
+            if n > 2 * _FLUSH and len(counts) > 8:
+                s, c = _merged(suffixes, counts)
+                suffixes, counts, n = [s], [c], 0
+        words = list(total)
+        own = np.array([total[w] for w in words], dtype=np.int64)
+        rows = []
+        if suffixes:
+            room, bits = filled(*_merged(suffixes, counts), probes)
+            rows.append((room, bits.tobytes(), None, None, 0, 0))
+        if words:
+            rows.append((None, None, b" ".join(words), own.tobytes(), int(own.sum()), len(own)))
+        r = table["range"][0].as_py()
+        room, bits, words, count, n, v = zip(*rows)
+        return _table(_RANGES, range=[r] * len(rows), room=room, bits=bits, words=words, count=count, n=n, v=v)
+
+    return cut(_counted(training, range_bits).groupBy("range").applyInArrow(build, _RANGES), "ranges")
+
+
+def score_tokens(model: CountFilter | Answers, t: Tokens, n: int, v: int, pair_weight: float = 400.0, triple_weight: float = 10.0) -> np.ndarray:
+    """log10 probability of each token, by the counts that the model's levels stand for.
+
+    P1(w) = (c(w) + 1) / (n + v + 1); P2(w | v) = (c(v, w) + a P1(w)) / (c(v) + a); P3(w | u, v) = (c(u, v, w) + b P2(w | v)) / (c(u, v) + b);
+    a text's first token has P2 after the start.  A gram's count is at most its context's.
+    """
+    pairs, triples, inner = t.keys()
+    stands = expected(np.arange(129))
+    read = lambda keys: stands[model.levels(keys)]
+    own = read(word_keys(np.r_[t.h, _START]))
+    word = own[t.at]
+    context = np.r_[own[-1], word[:-1]]
+    context[t.starts] = own[-1]
+
+    pair = np.minimum(read(pairs), np.minimum(context, word))
+    out = (word + 1) / (n + v + 1.0)
+    out = (pair + pair_weight * out) / (context + pair_weight)
+    before = np.r_[0.0, pair[:-1]][inner]
+    triple = np.minimum(read(triples[inner]), np.minimum(before, pair[inner]))
+    out[inner] = (triple + triple_weight * out[inner]) / (before + triple_weight)
+    return np.log10(out)
+
+
+def evaluate(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, pair_weight: float = 400.0, triple_weight: float = 10.0,
+    probes: int = 4, chunk_bytes: int = 4 << 20, range_bits: int | None = None, most_bytes: int = 256 << 20,
+) -> DataFrame:
     """Learn from the rows whose fold of the id is not ``held``, and score all: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    A null or empty text is one end token.  Null ids and repeated rows stay; other columns are ignored; without training rows all
-    counts are 0; an empty table gives an empty result.
+    A null or empty text is one end token.  Null ids and repeated rows stay (rows that repeat id and text are scored in one task);
+    a very long text is one chunk of its own; other columns, whatever their names, are ignored; without training rows all counts are 0; an empty table gives an
+    empty result.  A filter of up to ``most_bytes`` is broadcast, a larger one is asked range by range.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(doc_id), modulus) == held).alias("held_out"))
-    training = rows.where("not held_out")
-    counts = cut(word_counts(training), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    range_bits = how.setdefault("range_bits", 7)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if range_bits is None:
+        range_bits = max(7, int(np.ceil(np.log2(max(1, size / (64 << 20))))))
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-
-    def vocabulary(table: pa.Table) -> pa.Table:
-        seen = {END}
-        for t in as_bytes(table["text"].combine_chunks()):
-            seen.update(t.translate(LOWER).split())
-        return pa.table([pa.array([table["chunk"][0].as_py()] * len(seen), pa.int64()), pa.array(list(seen), pa.binary())], names=["chunk", "word"])
+    ranges = train(rows.where("not held_out"), range_bits, probes)
+    n, v, filter_bytes = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()
+    small = filter_bytes <= most_bytes
+    parts = ranges.where("bits is not null").select("range", "room", "bits")
+    sent = None
+    if small:
+        sent = docs.sparkSession.sparkContext.broadcast(collected(parts, filter_bytes, range_bits, probes))
+
+    def keys_of(t: Tokens) -> np.ndarray:
+        pairs, triples, inner = t.keys()
+        return np.unique(np.concatenate([pairs, triples[inner], word_keys(np.r_[t.h, _START])]))
 
     def ask(table: pa.Table) -> pa.Table:
-        texts = as_bytes(table["text"].combine_chunks())
-        known: dict = {}
-        keys = np.unique(np.concatenate([np.unique(_keys(texts[at : at + 64], known)) for at in range(0, len(texts), 64)]))
-        some, starts, suffix = _by_range(keys, range_bits)
-        part = [_packed(suffix[starts[r] : starts[r + 1]]) for r in some]
-        return pa.table([pa.array(some, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(some), pa.int64()), pa.array(part, pa.binary())], names=["range", "chunk", "suffix"])
-
-    def score(table: pa.Table, given: pa.Table) -> pa.Table:
-        told, words = given.filter(given["levels"].is_valid()).sort_by("range"), given.filter(given["word"].is_valid())
-        listed = words["word"].to_pylist()
-        place = {w: i for i, w in enumerate(listed)}
-        count = words["n"].to_numpy()
-        h, gain, known = word_hashes(listed), np.log10(count + 1.0), count > 0
-        ids, lengths = [], []
-        for t in as_bytes(table["text"].combine_chunks()):
-            found = t.translate(LOWER).split()
-            found.append(END)
-            ids.append(np.fromiter(map(place.__getitem__, found), dtype=np.int64, count=len(found)))
-            lengths.append(len(found))
-        at, lengths = np.concatenate(ids), np.array(lengths)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        total = lambda x: np.add.reduceat(x, starts)
-        before = np.r_[_START, h[at][:-1]]
-        before[starts] = _START
-        keys = np.unique(np.r_[pair_keys(before, h[at]), word_keys(np.r_[h, _START])])
-        model = Answers(keys, np.frombuffer(b"".join(told["levels"].to_pylist()), dtype=np.uint8).astype(np.int64), n, v)
-        base = total(gain[at]) - lengths * np.log10(model.tokens + model.words + 1.0)
-        score = total(text_scores(model, h[at], starts, share))
-        columns = [table["doc_id"], table["held_out"], pa.array(lengths.astype(np.int64)), pa.array(total(known[at].astype(np.int64))), pa.array([model.tokens] * len(lengths), pa.int64()), pa.array(base), pa.array(score)]
+        texts, chunk = as_bytes(table["text"].combine_chunks()), table["chunk"][0].as_py()
+        t = Tokens.of(texts)
+        out = [(r, None, b" ".join(t.words[a:b])) for r, a, b in _cuts(t.h, range_bits)]
+        if not small:
+            keys = keys_of(t)
+            suffix = split(keys, range_bits)[1]
+            out += [(r, _packed(suffix[a:b]), None) for r, a, b in _cuts(keys, range_bits)]
+        r, s, w = zip(*out)
+        return _table(_ASKED, range=r, chunk=[chunk] * len(r), suffix=s, words=w)
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        total, bits, room = {}, None, 64
+        for w, c, b, k in zip(*(own[x].to_pylist() for x in ("words", "count", "bits", "room"))):
+            if w is not None:
+                total = dict(zip(w.split(b" "), np.frombuffer(c, dtype=np.int64).tolist()))
+            elif b is not None:
+                bits, room = np.frombuffer(b, dtype=np.uint8), k
+        chunk, of, levels, counts = [], [], [], []
+        for r, k, s, w in zip(*(asked[x].to_pylist() for x in ("range", "chunk", "suffix", "words"))):
+            chunk.append(k)
+            of.append(r)
+            if w is not None:
+                levels.append(None)
+                counts.append(np.array([total.get(x, 0) for x in w.split(b" ")], dtype=np.int64).tobytes())
+            else:
+                s = _unpacked(s)
+                given = np.zeros(len(s)) if bits is None else read_levels(bits, np.zeros(len(s), dtype=np.uint64), np.full(len(s), room, dtype=np.uint64), s, probes)
+                levels.append(given.astype(np.uint8).tobytes())
+                counts.append(None)
+        return _table(_TOLD, chunk=chunk, range=of, levels=levels, count=counts)
+
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        t, told = Tokens.of(as_bytes(table["text"].combine_chunks())), told.sort_by("range")
+        both = lambda c: b"".join(told[c].drop_null().to_pylist())
+        count = np.frombuffer(both("count"), dtype=np.int64)
+        model = sent.value if small else Answers(keys_of(t), np.frombuffer(both("levels"), dtype=np.uint8).astype(np.int64))
+        total = lambda x: np.add.reduceat(x, t.starts)
+        length = np.diff(np.r_[t.starts, len(t.at)])
+        base = total(np.log10(count + 1.0)[t.at]) - length * np.log10(n + v + 1.0)
+        out = total(score_tokens(model, t, n, v, pair_weight, triple_weight))
+        columns = [table["doc_id"], table["held_out"], pa.array(length.astype(np.int64)), pa.array(total((count > 0)[t.at].astype(np.int64))), pa.array([n] * len(length), pa.int64()), pa.array(base), pa.array(out)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    found = dealt.groupBy("chunk").applyInArrow(vocabulary, "chunk long, word binary").join(counts, "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("chunk")
+    held_back = ranges.where("words is not null").drop("bits").withColumn("bits", F.lit(None).cast("binary")) if small else ranges
+    told = held_back.groupBy("range").cogroup(by_chunk.applyInArrow(ask, _ASKED).groupBy("range")).applyInArrow(answer, _TOLD)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "range int, chunk long, suffix binary")
-    found = found.unionByName(answers(training, asked, **how), allowMissingColumns=True)
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, schema)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
