@@ -11,7 +11,7 @@ def test_smallest_ids_of_many_copies():
     x[rng.permutation(900)[:400]] = x[0]
     ids = rng.permutation(900)
     unit = x / np.sqrt((x**2).sum(1))[:, None]
-    index = additive.AdditiveIndex(ids, list(x), additive.train(unit, 4, 32), 4, 64)
+    index = additive.AdditiveIndex(ids, list(x), additive.train(unit, 4, 32), 4, 0.13)
     copies = sorted(ids[(x == x[0]).all(1)].tolist())
-    found, scores = index.search(copies[2], x[0], 5)
+    found, scores = index.search([copies[2]], [x[0]], 5)[0]
     assert found == [i for i in copies if i != copies[2]][:5] and np.allclose(scores, 1)

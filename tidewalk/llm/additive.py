@@ -56,7 +56,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(books)), dtype=np.int32)
 
 
-def train(sample: np.ndarray, n_books: int = 8, size: int = 256, rounds: int = 8, beam: int = 4) -> np.ndarray:
+def train(sample: np.ndarray, n_books: int = 16, size: int = 256, rounds: int = 8, beam: int = 4) -> np.ndarray:
     """Codebooks (n_books, size, dimensions) from unit vectors."""
     rng = np.random.default_rng(7)
     books: list[np.ndarray] = []
@@ -71,7 +71,7 @@ def train(sample: np.ndarray, n_books: int = 8, size: int = 256, rounds: int = 8
 class AdditiveIndex:
     """Codes and norms of a block of vectors, and the vectors themselves for the last step."""
 
-    def __init__(self, ids, vectors, books: np.ndarray, beam: int, rerank: int):
+    def __init__(self, ids, vectors, books: np.ndarray, beam: int, rerank: float):
         self.books, self.rerank = books, rerank
         self.rows, of = np.unique(search.padded(vectors), axis=0, return_inverse=True)  # copies have one code, and one place in the cut
         ids, of = np.asarray(ids, dtype=np.int64), of.ravel()
@@ -87,14 +87,18 @@ class AdditiveIndex:
         coded = sum(b[c] for b, c in zip(books, self.codes))
         self.norm = np.maximum(np.sqrt((coded**2).sum(1)), 1e-9)
 
-    def search(self, query_id: int, x: np.ndarray, k: int):
+    def search(self, query_ids: list[int], queries: list[np.ndarray], k: int):
+        """Ids and scores of the nearest rows found for each query."""
+        return [self._search(i, x, k) for i, x in zip(query_ids, queries)]
+
+    def _search(self, query_id: int, x: np.ndarray, k: int):
         width, dims = self.books.shape[2], self.rows.shape[1]
         tables = self.books @ search.matched(x, width)
         guess = tables[0][self.codes[0]]
         for table, code in zip(tables[1:], self.codes[1:]):
             guess += table[code]
         guess /= self.norm
-        few = min(self.rerank + len(self.holds.get(query_id, ())), len(guess))
+        few = min(max(4 * k, int(np.ceil(self.rerank * len(guess)))) + len(self.holds.get(query_id, ())), len(guess))
         some = np.flatnonzero(guess >= -np.partition(-guess, few - 1)[few - 1])  # equal guesses are never cut apart
         q = search.matched(x, dims)
         exact = (self.rows[some] * q).sum(1) / (self.length[some] * np.sqrt((x * x).sum()))
@@ -113,13 +117,14 @@ class AdditiveIndex:
 
 def nearest(
     rows: DataFrame, is_query, k: int = 5, vector: str = "embedding", vec_id: str = "vec_id",
-    n_books: int = 8, size: int = 256, beam: int = 4, rerank: int = 512, sample: int = 8_192, block: int = 16_384,
+    n_books: int = 16, size: int = 256, beam: int = 4, rerank: float = 0.03, sample: int = 8_192, block: int = 4096,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its ``k`` nearest other rows found, score the exact cosine.
 
-    Every row is indexed; codebooks are trained on the ``sample`` rows with the smallest hashes.  ``rerank`` distinct vectors of each block, and
-    those of equal guess, are compared exactly.  Ties go to the smaller id; fewer candidates give fewer rows.  Null, empty and zero vectors, and those with null
-    or non-finite components, take no part; shorter vectors count as filled up with zeros.  A row never finds rows of its own id.
+    Every row is indexed; codebooks are trained on the ``sample`` rows with the smallest hashes.  A share ``rerank`` of the distinct vectors of each block, ``4 k`` at least, and
+    those of equal guess, are compared exactly.  Ties go to the smaller id; fewer candidates give fewer rows.  Null, empty and zero vectors, those with null
+    or non-finite components, and rows with a null id take no part; shorter vectors count as filled up with zeros.  A row never finds rows of its own id.  A repeated row is that many
+    candidates and asks once; rows of one id with different vectors ask each, with ranks of their own.  Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     x = F.col(vector).cast("array<double>")
     rows = rows.where(search._usable(vector) & F.exists(x, lambda v: v != 0))
