@@ -75,13 +75,17 @@ def stereographic(lon, lat) -> tuple[Column, Column]:
 def arc_point(lon1, lat1, lon2, lat2, r) -> tuple[Column, Column]:
     """Longitude and latitude at the fraction ``r`` (clipped to [0, 1]) of the arc from 1 to 2, evenly spaced.
 
-    Points that coincide give the first point.
+    Points that coincide give the first point; antipodes, which any arc joins, give null.  Longitudes are above -180 and up to
+    180; a point at a pole has the longitude of the first point.
     """
     lam1, phi1, lam2, phi2 = (F.radians(col(x)) for x in (lon1, lat1, lon2, lat2))
     r, whole = clip(col(r), 0.0, 1.0), arc(lon1, lat1, lon2, lat2)
-    a = F.coalesce(F.try_divide(F.sin((1 - r) * whole), F.sin(whole)), F.lit(1.0))
-    b = F.coalesce(F.try_divide(F.sin(r * whole), F.sin(whole)), F.lit(0.0))
+    whole = F.when(whole < math.pi - 1e-9, whole)
+    a = F.when(F.sin(whole) == 0, F.lit(1.0)).otherwise(F.try_divide(F.sin((1 - r) * whole), F.sin(whole)))
+    b = F.when(F.sin(whole) == 0, F.lit(0.0)).otherwise(F.try_divide(F.sin(r * whole), F.sin(whole)))
     x = a * F.cos(phi1) * F.cos(lam1) + b * F.cos(phi2) * F.cos(lam2)
     y = a * F.cos(phi1) * F.sin(lam1) + b * F.cos(phi2) * F.sin(lam2)
     z = a * F.sin(phi1) + b * F.sin(phi2)
-    return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+    flat = F.sqrt(x * x + y * y)
+    lon = F.degrees(F.when(flat < 1e-12, F.atan2(F.sin(lam1), F.cos(lam1))).otherwise(F.atan2(y, x)))
+    return F.when(lon < -180 + 1e-9, F.lit(180.0)).otherwise(lon), F.degrees(F.atan2(z, flat))

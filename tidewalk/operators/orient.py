@@ -48,7 +48,10 @@ def mask_inside(mask: DataFrame, found: DataFrame, spec: GridSpec, sect: int = 0
 
 
 def orientation(path: DataFrame, found: DataFrame, spec: GridSpec, geometry: str = "spherical", positive_in: bool | DataFrame = True) -> DataFrame:
-    """``(section_id, positive_in, orient_fact)``: whether transports count as positive the way the faces' signs have it."""
+    """``(section_id, positive_in, orient_fact)``: whether transports count as positive the way the faces' signs have it.
+
+    A section whose inside is not known (its cell is missing from the mask, or a coordinate is missing) is an error.
+    """
     if isinstance(positive_in, DataFrame):
         held = mask_inside(positive_in, found, spec).select("section_id", F.col("inside").alias("positive_in"))
     else:
@@ -56,4 +59,5 @@ def orientation(path: DataFrame, found: DataFrame, spec: GridSpec, geometry: str
             raise ValueError("periodic cartesian domains have no inside")
         turn: Column = F.col("counterclockwise")
         held = counterclockwise(path, geometry).select("section_id", (turn if positive_in else ~turn).alias("positive_in"))
-    return held.select("section_id", "positive_in", F.when(F.col("positive_in"), 1).otherwise(-1).alias("orient_fact"))
+    unknown = F.raise_error(F.concat(F.lit("no inside is known of section "), F.col("section_id").cast("string"))).cast("int")
+    return held.select("section_id", "positive_in", F.when(F.col("positive_in"), 1).when(~F.col("positive_in"), -1).otherwise(unknown).alias("orient_fact"))

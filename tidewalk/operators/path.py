@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewalk.functions.geo import EARTH_RADIUS, arc, arc_point, corner_angle, distance, let
 from tidewalk.plans.grid import GridSpec, corner_table
 
-#: Corners in the one row of arrays: 64 MB.  Beyond it, cut the grid down to the section's surroundings first.
-MOST_CORNERS = 4_000_000
+#: Corners in the one row of arrays, which can't be longer: 800 MB each.
+MOST_CORNERS = 100_000_000
 
 
 def grid_row(corners: DataFrame, spec: GridSpec) -> DataFrame:
@@ -41,16 +41,38 @@ def nearest_corner(lon: Column, lat: Column, nx: int) -> Column:
     return let(best.k, lambda k: F.struct(F.floor(k / nx).alias("j"), F.pmod(k, F.lit(nx)).alias("i")))
 
 
+def snapped(vertices: DataFrame, corners: DataFrame, spec: GridSpec) -> DataFrame:
+    """``vertices(section_id, k, lon, lat)`` with ``i`` and ``j`` of the nearest corner; each place is searched for once."""
+    places = vertices.select("lon", "lat").distinct()
+    return vertices.join(find_closest(places, corners, spec), ["lon", "lat"])
+
+
+def reverse(path: DataFrame) -> DataFrame:
+    """``path(section_id, pt, ...)`` the other way round: points are numbered from the other end."""
+    last = F.max("pt").over(W.partitionBy("section_id"))
+    return path.withColumn("pt", last - F.col("pt"))
+
+
+def close(vertices: DataFrame) -> DataFrame:
+    """``vertices(section_id, k, lon, lat)`` with each section's first vertex once more at its end, unless it ends there."""
+    whole = W.partitionBy("section_id")
+    at = lambda f, c: f(F.col(c), F.col("k")).over(whole)
+    held = vertices.select("section_id", "k", "lon", "lat", F.max("k").over(whole).alias("_last"), F.min("k").over(whole).alias("_first"), at(F.max_by, "lon").alias("_lon"), at(F.max_by, "lat").alias("_lat"))
+    again = held.where((F.col("k") == F.col("_first")) & (F.col("_last") > F.col("_first")) & ((F.col("lon") != F.col("_lon")) | (F.col("lat") != F.col("_lat"))))
+    return vertices.select("section_id", "k", "lon", "lat").unionByName(again.select("section_id", (F.col("_last") + 1).alias("k"), "lon", "lat"))
+
+
 def find_closest(points: DataFrame, corners: DataFrame, spec: GridSpec, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``points`` with ``i`` and ``j`` of the nearest corner."""
     held = points.crossJoin(grid_row(corners, spec))
     return held.withColumn("_c", nearest_corner(F.col(lon), F.col(lat), spec.walk_x)).select(*points.columns, F.col("_c.i").alias("i"), F.col("_c.j").alias("j"))
 
 
-def segments(vertices: DataFrame) -> DataFrame:
-    """``(section_id, k, lon1, lat1, lon2, lat2, last)``: each vertex with the next one of its section ``vertices(section_id, k, lon, lat)``."""
+def segments(vertices: DataFrame, *columns: str) -> DataFrame:
+    """``(section_id, k, last)`` and each of ``columns`` as ``c1`` and ``c2``: each vertex with the next one of its section ``vertices(section_id, k, ...)``."""
     by = W.partitionBy("section_id").orderBy("k")
-    out = vertices.select("section_id", "k", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lead("lon").over(by).alias("lon2"), F.lead("lat").over(by).alias("lat2"), F.lead("k", 2).over(by).isNull().alias("last"), F.lead("k").over(by).isNull().alias("_end"), F.lag("k").over(by).isNull().alias("_only"))
+    pairs = [x for c in columns for x in (F.col(c).alias(f"{c}1"), F.lead(c).over(by).alias(f"{c}2"))]
+    out = vertices.select("section_id", "k", *pairs, F.lead("k", 2).over(by).isNull().alias("last"), F.lead("k").over(by).isNull().alias("_end"), F.lag("k").over(by).isNull().alias("_only"))
     lone = F.when(F.col("_end") & F.col("_only"), F.raise_error(F.lit("a section has two vertices at least")))
     return out.where(F.coalesce(lone.cast("boolean"), ~F.col("_end"))).drop("_end", "_only")
 
@@ -109,7 +131,7 @@ def walk(spec: GridSpec, digits: int | None = None) -> Column:
         return F.when(s.done, s).when(here * EARTH_RADIUS < 1e-12, stop).otherwise(onward)
 
     def finish(s):
-        lost = F.raise_error(F.lit("the path should have reached its end by now")).cast(path_type)
+        lost = F.raise_error(F.concat(F.lit("walk not at its end after "), F.size(s.path).cast("string"), F.lit(" corners, at column "), s.i.cast("string"), F.lit(" of row "), s.j.cast("string"))).cast(path_type)
         return F.when(s.done, s.path).otherwise(lost)
 
     path_type = "array<struct<j:bigint,i:bigint>>"
@@ -135,10 +157,7 @@ def grid_section(corners: DataFrame, vertices: DataFrame, spec: GridSpec, digits
 
     Vertices are snapped to their nearest corners.  Any number of sections is one job.
     """
-    nx = spec.walk_x
-    held = segments(vertices).crossJoin(grid_row(corners, spec))
-    held = held.withColumn("a", nearest_corner(F.col("lon1"), F.col("lat1"), nx)).withColumn("b", nearest_corner(F.col("lon2"), F.col("lat2"), nx))
-    legs = held.select("section_id", "k", "last", "glon", "glat", F.col("a.i").alias("i1"), F.col("a.j").alias("j1"), F.col("b.i").alias("i2"), F.col("b.j").alias("j2"))
+    legs = segments(snapped(vertices, corners, spec), "i", "j").crossJoin(grid_row(corners, spec))
     return composite(legs, spec, digits)
 
 

@@ -140,7 +140,11 @@ sides as (select section_id, sect, case when var = 'U' then j % 16 else (j + d +
         "q_distance": f"with {_points()} select k, round(6371.0*{whole}, 2) as vincenty, round(6371.0*2*asin(least(1.0, sqrt({hav}))), 2) as haversine, round(6371.0*acos(greatest(-1.0, least(1.0, {cosines}))), 2) as cosines from p",
         "q_angle": f"with {_points()}, t as (select k, {arc('lon2', 'lat2', 'lon3', 'lat3')} as a, {arc('lon1', 'lat1', 'lon3', 'lat3')} as b, {whole} as c from p) select k, round({corner_angle('a', 'b', 'c')}, 5) as angle from t",
         "q_stereographic": f"with {_points()}, t as (select k, lon1, radians(90 - greatest(-90 + 1e-3, least(90 - 1e-3, lat1))) as d from p) select k, round(sin(d)/(1 - cos(d))*cos(-radians(lon1)), 7) as x, round(sin(d)/(1 - cos(d))*sin(-radians(lon1)), 7) as y from t",
-        "q_arc_path": f"with {_points()}, t as (select *, n/4.0::double as r, {whole} as w from p cross join (values (0), (1), (2), (3), (4)) v(n) where abs(lon1 - lon2) between 1 and 170 and abs(lat1) < 80 and abs(lat2) < 80), ab as (select *, sin((1 - r)*w)/sin(w) as a, sin(r*w)/sin(w) as b from t) select k, r, round(degrees(atan2({y}, {x})), 6) as lon, round(degrees(atan2({z}, sqrt({x}*{x} + {y}*{y}))), 6) as lat from ab",
+        "q_arc_path": f"""with {_points()}, t as (select *, n/4.0::double as r, {whole} as far, case when far < pi() - 1e-9 then far end as w from p cross join (values (0), (1), (2), (3), (4)) v(n)),
+ab as (select *, case when sin(w) = 0 then 1.0 else sin((1 - r)*w)/nullif(sin(w), 0) end as a, case when sin(w) = 0 then 0.0 else sin(r*w)/nullif(sin(w), 0) end as b from t),
+xyz as (select k, r, lon1, {x} as x, {y} as y, {z} as z, sqrt(x*x + y*y) as flat from ab),
+ll as (select k, r, degrees(case when flat < 1e-12 then atan2(sin(radians(lon1)), cos(radians(lon1))) else atan2(y, x) end) as lon, degrees(atan2(z, flat)) as lat from xyz)
+select k, r, round(case when lon < -180 + 1e-9 then 180.0 else lon end, 6) + 0.0::double as lon, round(lat, 6) + 0.0::double as lat from ll""",
         "q_nearest_corner": f"with {_points()}, q as (select k, lon1 + 0.25 as lon, lat1 + 0.25 as lat from p), g as (select a.range as j, b.range as i from range(17) a, range(24) b), m as (select k, min({{'d': {near}, 'j': j, 'i': i}}) as b from q cross join g group by k) select k, b.i as i, b.j as j from m",
         "q_grid_section": f"with recursive {_sections()} select section_id, pt, i, j, lon, lat from path",
         "q_index_section": "with recursive " + _walk("('a', 0, 15.0::double, -30.0::double), ('a', 1, 150.0::double, 10.0::double), ('b', 0, 300.0::double, 0.0::double), ('b', 1, 45.0::double, 40.0::double)") + " select section_id, pt, i, j, lon, lat from path",

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewalk.functions import geo
 from tidewalk.operators import diagnostics as dg, faces as fc, orient, path as pt, sampling as sp
-from tidewalk.sources.fields import TestGrid, mesh, slice_from, split_supergrid
+from tidewalk.salesgrid import SalesGrid
+from tidewalk.sources.fields import mesh, slice_from, split_supergrid
 
 #: Vertices of the sections that the queries follow, on corners of the test grid.
 SECTIONS = {
@@ -25,11 +26,11 @@ def vertices(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame(rows, "section_id string, k long, lon double, lat double")
 
 
-def section(g: TestGrid, *names: str) -> DataFrame:
+def section(g: SalesGrid, *names: str) -> DataFrame:
     return pt.grid_section(g.corners, vertices(g.spark, *names), g.spec, DIGITS)
 
 
-def _points(g: TestGrid) -> DataFrame:
+def _points(g: SalesGrid) -> DataFrame:
     """Pairs of places from the customers."""
     c = g.spark.read.parquet(f"{g.sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
     at = lambda m, n, o: (F.pmod(F.col("k") * m, F.lit(n)) + o).cast("double")
@@ -37,68 +38,67 @@ def _points(g: TestGrid) -> DataFrame:
 
 
 def q_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(TestGrid(spark, sf_dir))
+    p = _points(SalesGrid(spark, sf_dir))
     return p.select("k", *(F.round(geo.distance("lon1", "lat1", "lon2", "lat2", method=m) / 1000, 2).alias(m) for m in geo.METHODS))
 
 
 def q_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(TestGrid(spark, sf_dir))
+    p = _points(SalesGrid(spark, sf_dir))
     return p.select("k", F.round(geo.angle("lon1", "lat1", "lon2", "lat2", "lon3", "lat3"), 5).alias("angle"))
 
 
 def q_stereographic(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.stereographic("lon1", "lat1")
-    return _points(TestGrid(spark, sf_dir)).select("k", F.round(x, 7).alias("x"), F.round(y, 7).alias("y"))
+    return _points(SalesGrid(spark, sf_dir)).select("k", F.round(x, 7).alias("x"), F.round(y, 7).alias("y"))
 
 
 def q_arc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(TestGrid(spark, sf_dir)).where("abs(lon1 - lon2) between 1 and 170 and abs(lat1) < 80 and abs(lat2) < 80")
-    p = pt.arc_path_range(p.select("k", "lon1", "lat1", "lon2", "lat2"), 5)
-    return p.select("k", "r", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    p = pt.arc_path_range(_points(SalesGrid(spark, sf_dir)).select("k", "lon1", "lat1", "lon2", "lat2"), 5)
+    return p.select("k", "r", (F.round("lon", 6) + 0.0).alias("lon"), (F.round("lat", 6) + 0.0).alias("lat"))
 
 
 def q_nearest_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     p = _points(g).select("k", (F.col("lon1") + 0.25).alias("lon"), (F.col("lat1") + 0.25).alias("lat"))
     return pt.find_closest(p, g.corners, g.spec).select("k", "i", "j")
 
 
 def q_grid_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section(TestGrid(spark, sf_dir))
+    return section(SalesGrid(spark, sf_dir))
 
 
 def q_index_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     ends = spark.createDataFrame([("a", 1, 5, 10, 9), ("b", 20, 8, 3, 12)], "section_id string, i1 long, j1 long, i2 long, j2 long")
     return pt.index_section(g.corners, ends, g.spec, DIGITS)
 
 
 def q_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return fc.faces(section(g), g.spec)
 
 
 def q_face_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return fc.path_coords(section(g), g.spec, corners=g.corners, centers=g.centers)
 
 
 def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return spark.range(-3, 30).select(F.col("id").alias("idx"), g.spec.wrap(F.col("id"), "X").cast("long").alias("x"), g.spec.wrap(F.col("id"), "Y").cast("long").alias("y"))
 
 
 def q_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orient.counterclockwise(section(TestGrid(spark, sf_dir)))
+    return orient.counterclockwise(section(SalesGrid(spark, sf_dir)))
 
 
 def q_mask_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return orient.mask_inside(g.mask(F.col("lat") < 0), fc.faces(section(g), g.spec), g.spec)
 
 
 def _transport(spark: SparkSession, sf_dir: str, *names: str, **how) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return sp.convergent_transport(section(g, *names), g.spec, g.umo, g.vmo, g.corners, g.centers, **how)
 
 
@@ -107,13 +107,13 @@ def q_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_transport_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     out = _transport(spark, sf_dir, "box", dense=True, widths=g.widths)
     return out.withColumn("dl", F.round("dl", 3)).withColumn("distance", F.round("distance", 3))
 
 
 def q_transport_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     mask = g.mask(F.col("lon").between(30, 120) & F.col("lat").between(-40, 20))
     return dg.totals(_transport(spark, sf_dir, "box", positive_in=mask), ["time", "z_l", "orient_fact"])
 
@@ -136,18 +136,18 @@ def q_overturning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tracer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return sp.extract_tracer(section(g), g.spec, g.thetao, "thetao")
 
 
 def q_tracer_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return sp.extract_tracer(section(g), g.spec, g.umo.withColumnRenamed("xq", "xh"), "umo")
 
 
 def q_latitude_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overturning at many latitudes as one job: around the globe along each, in steps of 60 degrees."""
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     lats = spark.range(len(LATITUDES)).select((F.col("id") * LATITUDES.step + LATITUDES.start).cast("string").alias("section_id"), (F.col("id") * LATITUDES.step + LATITUDES.start).cast("double").alias("lat"))
     around = lats.select("section_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("k"), "lat").select("section_id", "k", (15.0 * F.col("k")).alias("lon"), "lat")
     held = sp.convergent_transport(pt.grid_section(g.corners, around, g.spec, DIGITS), g.spec, g.umo, g.vmo)
@@ -156,18 +156,18 @@ def q_latitude_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_meridional_overturning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Along the grid's own rows, no section needed."""
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     rows = slice_from(g.vmo, "yq", 1)
     return dg.overturning(rows, "vmo", others=("time", "yq"))
 
 
 def q_boundary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return dg.boundary_faces(g.mask(F.col("lat") < 0), g.spec)
 
 
 def q_mask_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = TestGrid(spark, sf_dir)
+    g = SalesGrid(spark, sf_dir)
     return dg.mask_transport(g.mask(F.col("lon").between(30, 120) & F.col("lat").between(-40, 20)), g.spec, g.umo, g.vmo)
 
 
