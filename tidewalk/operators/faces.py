@@ -59,7 +59,8 @@ def face_coords(found: DataFrame, spec: GridSpec, corners: DataFrame | None = No
         held = _looked_up(held, v, F.when(~isu, F.col("fj")), F.when(~isu, F.col("fi")), at["v"], {"_vlon": lon, "_vlat": lat})
     if u is None or v is None:
         lon, lat = geo_columns(corners, at["corner"])
-        held = _looked_up(held, corners, F.col("j"), F.col("i"), at["corner"], {"_qlon": lon, "_qlat": lat})
+        turned = lambda c, n, many, around: F.when(F.col(c) >= many, F.pmod(F.col(c), F.lit(n))).otherwise(F.col(c)) if around else F.col(c)  # noqa: E731  past the last corner comes the first
+        held = _looked_up(held, corners, turned("j", spec.ny, spec.corners_y, spec.periodic_y), turned("i", spec.nx, spec.corners_x, spec.periodic_x), at["corner"], {"_qlon": lon, "_qlat": lat})
         lon, lat = geo_columns(centers, at["center"])
         held = _looked_up(held, centers, both[0], both[1], at["center"], {"_hlon": lon, "_hlat": lat})
     ulon, ulat = ("_ulon", "_ulat") if u is not None else ("_qlon", "_hlat")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewalk.queries import LATITUDES, SECTIONS
+from dataclasses import dataclass
+
+from tidewalk.queries import FAR_SECTIONS, LATITUDES, REGIONAL_SECTIONS, SECTIONS
 
 
 def arc(a: str, b: str, c: str, d: str) -> str:
@@ -24,19 +26,50 @@ def _points() -> str:
     return "p as (select c_custkey as k, " + ", ".join(f"{at(m, n, o)} as {c}" for c, m, n, o in cols) + " from customer)"
 
 
-# the test grid: corner (j, i) is at 15 * i, 10 * j - 80; paths run on 24 columns and 17 rows
+@dataclass(frozen=True)
+class Grid:
+    """A regular grid in SQL: corner (j, i) is at (lon0 + dlon * i, lat0 + dlat * j); paths run on ``nx`` columns and ``ny`` rows of corners."""
+
+    nx: int = 24
+    ny: int = 17
+    lon0: float = 0.0
+    dlon: float = 15.0
+    lat0: float = -80.0
+    dlat: float = 10.0
+    periodic: bool = True
+    tripolar: bool = False
+
+    def lon(self, i: str) -> str:
+        return f"({self.lon0}::double + {self.dlon}::double*({i}))"
+
+    def lat(self, j: str) -> str:
+        return f"({self.lat0}::double + {self.dlat}::double*({j}))"
 
+    def near(self) -> str:
+        """The neighbours of (j, i): right, left, down, up."""
+        n, top = self.nx, self.ny - 1
+        right, left = (f"(i + 1) % {n}", f"(i + {n - 1}) % {n}") if self.periodic else (f"least(i + 1, {n - 1})", "greatest(i - 1, 0)")
+        up = (f"case when j = {top} then j - 1 else j + 1 end", f"case when j = {top} then {n - 1} - i % {n} else i % {n} end") if self.tripolar else (f"least(j + 1, {top})", "i")
+        return ", ".join(f"{{'o': {o}, 'j': {j}, 'i': {i}}}" for o, (j, i) in enumerate([("j", right), ("j", left), ("greatest(j - 1, 0)", "i"), up]))
 
-def _walk(rows: str) -> str:
+
+GRID = Grid()
+UNSYMMETRIC = Grid(ny=16, lon0=15.0, lat0=-70.0)
+REGIONAL = Grid(nx=25, lon0=200.0, dlon=2.5, lat0=-10.0, dlat=2.0, periodic=False)
+TRIPOLAR = Grid(tripolar=True)
+
+
+def _walk(rows: str, g: Grid = GRID, digits: int | None = 6) -> str:
     """CTEs up to path(section_id, pt, i, j, lon, lat), from a list of (section_id, k, lon, lat) on corners."""
-    lon, lat = "15.0*({i})", "(10.0*({j}) - 80)"
-    to = lambda e: arc(lon.format(i="c.i"), lat.format(j="c.j"), lon.format(i=f"i{e}"), lat.format(j=f"j{e}"))
-    whole = arc(lon.format(i="i1"), lat.format(j="j1"), lon.format(i="i2"), lat.format(j="j2"))
-    here = arc(lon.format(i="i"), lat.format(j="j"), lon.format(i="i2"), lat.format(j="j2"))
-    mean = f"round((({corner_angle('c.e', 'c.d', 'whole')}) + ({corner_angle('c.d', 'c.e', 'whole')}))/2, 6)"
+    to = lambda e: arc(g.lon("c.i"), g.lat("c.j"), g.lon(f"i{e}"), g.lat(f"j{e}"))
+    whole = arc(g.lon("i1"), g.lat("j1"), g.lon("i2"), g.lat("j2"))
+    here = arc(g.lon("i"), g.lat("j"), g.lon("i2"), g.lat("j2"))
+    mean = f"(({corner_angle('c.e', 'c.d', 'whole')}) + ({corner_angle('c.d', 'c.e', 'whole')}))/2"
+    mean = mean if digits is None else f"round({mean}, {digits})"
+    column = f"(round((lon - {g.lon0})/{g.dlon})::bigint)" + (f" % {g.nx}" if g.periodic else "")
     return f"""
 vertices(section_id, k, lon, lat) as (values {rows}),
-snapped as (select section_id, k, (round(lon/15)::bigint) % 24 as i, round((lat + 80)/10)::bigint as j from vertices),
+snapped as (select section_id, k, {column} as i, round((lat - {g.lat0})/{g.dlat})::bigint as j from vertices),
 legs as (select *, lead(i) over w as i2, lead(j) over w as j2, lead(k, 2) over w is null as fin from snapped window w as (partition by section_id order by k)),
 leg as (select section_id, k, fin, i as i1, j as j1, i2, j2 from legs where i2 is not null),
 walk as (
@@ -48,16 +81,19 @@ walk as (
              list_min(list_transform(list_filter(near, lambda c: came is null or c.o <> came), lambda c: {{'a': c.d, 'o': c.o, 'j': c.j, 'i': c.i}})) as other from (
         select *, list_transform(list_filter(near, lambda c: c.d < here), lambda c: {{'a': case when c.d = 0 then -1.0 else {mean} end, 'o': c.o, 'j': c.j, 'i': c.i}}) as closer,
                list_min(list_transform(list_filter(near, lambda c: c.i = pi and c.j = pj), lambda c: c.o)) as came from (
-          select *, {here} as here, list_transform([
-            {{'o': 0, 'j': j, 'i': (i + 1) % 24}}, {{'o': 1, 'j': j, 'i': (i + 23) % 24}}, {{'o': 2, 'j': greatest(j - 1, 0), 'i': i}}, {{'o': 3, 'j': least(j + 1, 16), 'i': i}}],
+          select *, {here} as here, list_transform([{g.near()}],
             lambda c: {{'o': c.o, 'j': c.j, 'i': c.i, 'd': {to(2)}, 'e': {to(1)}}}) as near
-          from walk where i <> i2 or j <> j2)))) where step < 42),
-path as (select section_id, row_number() over (partition by section_id order by k, step) - 1 as pt, i, j, 15.0::double*i as lon, 10.0::double*j - 80 as lat
+          from walk where i <> i2 or j <> j2)))) where step < {g.nx + g.ny + 1}),
+path as (select section_id, row_number() over (partition by section_id order by k, step) - 1 as pt, i, j, {g.lon("i")} as lon, {g.lat("j")} as lat
          from (select *, max(step) over (partition by section_id, k) as top from walk) where fin or step < top)"""
 
 
+def _rows(sections: dict, *names: str) -> str:
+    return ", ".join(f"('{n}', {k}, {x}::double, {y}::double)" for n in names or sections for k, (x, y) in enumerate(sections[n]))
+
+
 def _sections(*names: str) -> str:
-    return _walk(", ".join(f"('{n}', {k}, {x}::double, {y}::double)" for n in names or SECTIONS for k, (x, y) in enumerate(SECTIONS[n])))
+    return _walk(_rows(SECTIONS, *names))
 
 
 FACES = """,
@@ -99,6 +135,21 @@ conv_dense as (select f.section_id, t.time, t.z_l, f.sect, coalesce(d.val, 0.0)*
   on d.dir = f.dir and d.fj = f.fj and d.fi = f.fi and d.time = t.time and d.z_l = t.z_l)"""
 
 
+#: Faces where corners are right of and above the cells' middles.
+FACES_RIGHT = FACES.replace("end as i, case", "end + case when zonal then 1 else 0 end as i, case").replace("end as j, nward", "end + case when zonal then 0 else 1 end as j, nward")
+
+
+def _located(g: Grid) -> str:
+    """COORDS on another grid: the corner's coordinate along, the centre's across."""
+    right = 1 if g.ny == 16 else 0
+    fi, fj = ("i % 24" if g.periodic else "greatest(0, least(23, i))"), "greatest(0, least(15, j))"
+    lon = f"case when var = 'U' then {g.lon('i')} else {g.lon(f'({fi}) + 0.5 - {right}')} end"
+    lat = f"case when var = 'U' then {g.lat(f'({fj}) + 0.5 - {right}')} else {g.lat('j')} end"
+    return f""",
+located as (select *, {lon} as lon, {lat} as lat, case when var = 'U' then i else {fi} end as fi, case when var = 'U' then {fj} else j end as fj,
+            case when (var = 'U' and not nward) or (var = 'V' and eward) then 1 else -1 end as s from faces)"""
+
+
 def _faces(*names: str) -> str:
     return f"with recursive {_sections(*names)}{FACES}"
 
@@ -150,6 +201,18 @@ select k, r, round(case when lon < -180 + 1e-9 then 180.0 else lon end, 6) + 0.0
         "q_index_section": "with recursive " + _walk("('a', 0, 15.0::double, -30.0::double), ('a', 1, 150.0::double, 10.0::double), ('b', 0, 300.0::double, 0.0::double), ('b', 1, 45.0::double, 40.0::double)") + " select section_id, pt, i, j, lon, lat from path",
         "q_faces": _faces() + " select section_id, sect, var, i, j, nward, eward from faces",
         "q_face_coords": _faces() + COORDS + " select section_id, sect, var, i, j, nward, eward, lon, lat from located",
+        "q_path_without_rounding": f"with recursive {_walk(_rows(SECTIONS, 'open'), digits=None)} select section_id, pt, i, j, lon, lat from path",
+        "q_unsymmetric_section": f"with recursive {_walk(_rows(SECTIONS), UNSYMMETRIC)}{FACES_RIGHT}{_located(UNSYMMETRIC)} select section_id, sect, var, i, j, nward, eward, lon, lat from located",
+        "q_unsymmetric_transport": f"with recursive {_walk(_rows(SECTIONS), UNSYMMETRIC)}{FACES_RIGHT}{ORIENT}{_located(UNSYMMETRIC)}{FIELDS}{_FACED}{_CONV} select * from conv",
+        "q_unsymmetric_tracer": f"with recursive {_walk(_rows(SECTIONS), UNSYMMETRIC)}{FACES_RIGHT}{FIELDS}" + tracer.replace("values (-1), (0)", "values (0), (1)") + "t as (select section_id, time, z_l, sect, nullif(avg(thetao), 0) as thetao from sides join thetao on fj = yh and fi = xh group by section_id, time, z_l, sect) select * from t",
+        "q_regional_section": f"with recursive {_walk(_rows(REGIONAL_SECTIONS), REGIONAL)}{FACES}{_located(REGIONAL)} select section_id, sect, var, i, j, nward, eward, lon, lat from located",
+        "q_regional_transport": f"with recursive {_walk(_rows(REGIONAL_SECTIONS), REGIONAL)}{FACES}{ORIENT}{_located(REGIONAL)}{FIELDS}{_FACED}{_CONV} select * from conv",
+        "q_tripolar_section": f"with recursive {_walk(_rows(FAR_SECTIONS), TRIPOLAR)} select section_id, pt, i, j, lon, lat from path",
+        "q_native_coords": _faces() + COORDS + " select section_id, sect, var, i, j, nward, eward, case when var = 'U' then 15.0*fi + 0.25 else 15.0*fi + 7.75 end::double as lon, case when var = 'U' then 10.0*fj - 74.5 else 10.0*fj - 79.5 end::double as lat from located",
+        "q_missing_cells": _transports() + " select section_id, time, z_l, sect, dir, case when (fi + fj) % 5 = 0 then 0.0 else conv_mass_transport end as conv_mass_transport from (select c.*, f.fi, f.fj from conv c join faced f using (section_id, sect))",
+        "q_missing_tracer": _faces() + FIELDS + tracer + "t as (select section_id, time, z_l, sect, nullif(avg(case when (xh + yh) % 5 <> 0 then thetao end), 0) as thetao from sides join thetao on fj = yh and fi = xh group by section_id, time, z_l, sect) select * from t",
+        "q_reverse_section": f"with recursive {_sections()} select section_id, max(pt) over (partition by section_id) - pt as pt, i, j, lon, lat from path",
+        "q_closed_section": f"with recursive {_walk(_rows({n: x if x[0] == x[-1] else [*x, x[0]] for n, x in SECTIONS.items()}))} select section_id, pt, i, j, lon, lat from path",
         "q_wrap": "select range - 3 as idx, ((range - 3) % 24 + 24) % 24 as x, greatest(0, least(15, range - 3)) as y from range(33)",
         "q_orientation": f"with recursive {_sections()}{ORIENT} select section_id, counterclockwise, is_closed from orient",
         "q_mask_inside": _faces() + COORDS + _inside("10.0*{yh} - 75 < 0 and {xh} is not null") + " select section_id, inside from inside",

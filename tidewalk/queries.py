@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewalk.functions import geo
 from tidewalk.operators import diagnostics as dg, faces as fc, orient, path as pt, sampling as sp
+from tidewalk.plans.grid import GridSpec
 from tidewalk.salesgrid import SalesGrid
 from tidewalk.sources.fields import mesh, slice_from, split_supergrid
 
@@ -17,12 +18,15 @@ SECTIONS = {
     "open": [(15, -30), (150, 10)],
     "seam": [(300, 0), (60, 0)],
 }
+#: On corners of a grid of 2.5 by 2 degrees, and across the fold of a tripolar one.
+REGIONAL_SECTIONS = {"box": [(205, -6), (240, -6), (240, 14), (205, 14), (205, -6)], "edge": [(200, -10), (260, 22)], "back": [(250, 10), (210, -8)]}
+FAR_SECTIONS = {"fold": [(60, 60), (225, 60)], "side": [(30, 0), (150, 50)]}
 LATITUDES = range(-60, 70, 10)
 DIGITS = 6
 
 
-def vertices(spark: SparkSession, *names: str) -> DataFrame:
-    rows = [(n, k, float(x), float(y)) for n in names or SECTIONS for k, (x, y) in enumerate(SECTIONS[n])]
+def vertices(spark: SparkSession, *names: str, sections: dict = SECTIONS) -> DataFrame:
+    rows = [(n, k, float(x), float(y)) for n in names or sections for k, (x, y) in enumerate(sections[n])]
     return spark.createDataFrame(rows, "section_id string, k long, lon double, lat double")
 
 
@@ -83,6 +87,87 @@ def q_face_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.path_coords(section(g), g.spec, corners=g.corners, centers=g.centers)
 
 
+def q_path_without_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = SalesGrid(spark, sf_dir)
+    return pt.grid_section(g.corners, vertices(spark, "open"), g.spec)
+
+
+def _other(spark: SparkSession, sf_dir: str, kind: str) -> tuple[SalesGrid, DataFrame]:
+    """Another grid and the paths on it."""
+    specs = {"unsymmetric": GridSpec(24, 16, symmetric=False), "regional": GridSpec(24, 16, periodic_x=False), "tripolar": GridSpec(24, 16, topology="MOM-tripolar")}
+    places = {"unsymmetric": (15.0, 15.0, -70.0, 10.0), "regional": (200.0, 2.5, -10.0, 2.0)}
+    sections = {"unsymmetric": SECTIONS, "regional": REGIONAL_SECTIONS, "tripolar": FAR_SECTIONS}
+    g = SalesGrid(spark, sf_dir, specs[kind], *places.get(kind, ()))
+    return g, pt.grid_section(g.corners, vertices(spark, sections=sections[kind]), g.spec, DIGITS)
+
+
+def _other_coords(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    g, path = _other(spark, sf_dir, kind)
+    return fc.path_coords(path, g.spec, corners=g.corners, centers=g.centers)
+
+
+def _other_transport(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    g, path = _other(spark, sf_dir, kind)
+    return sp.convergent_transport(path, g.spec, g.umo, g.vmo, g.corners, g.centers)
+
+
+def q_unsymmetric_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _other_coords(spark, sf_dir, "unsymmetric")
+
+
+def q_unsymmetric_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _other_transport(spark, sf_dir, "unsymmetric")
+
+
+def q_unsymmetric_tracer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, path = _other(spark, sf_dir, "unsymmetric")
+    return sp.extract_tracer(path, g.spec, g.thetao, "thetao")
+
+
+def q_regional_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _other_coords(spark, sf_dir, "regional")
+
+
+def q_regional_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _other_transport(spark, sf_dir, "regional")
+
+
+def q_tripolar_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _other(spark, sf_dir, "tripolar")[1]
+
+
+def q_native_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces with the coordinates of the u and v tables themselves."""
+    g = SalesGrid(spark, sf_dir)
+    at = lambda j, i, names, lon, lat: mesh(spark, j, i, *names).withColumn("geolon", 15.0 * F.col(names[1]) + lon).withColumn("geolat", 10.0 * F.col(names[0]) + lat)
+    return fc.path_coords(section(g), g.spec, u=at(16, 25, ("yh", "xq"), 0.25, -74.5), v=at(17, 24, ("yq", "xh"), 7.75, -79.5))
+
+
+def _with_gaps(field: DataFrame, j: str, i: str, name: str) -> DataFrame:
+    """NaN in every cell whose indices add up to a multiple of five."""
+    return field.withColumn(name, F.when((F.col(j) + F.col(i)) % 5 == 0, F.lit(float("nan"))).otherwise(F.col(name).cast("double")))
+
+
+def q_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = SalesGrid(spark, sf_dir)
+    out = sp.convergent_transport(section(g), g.spec, _with_gaps(g.umo, "yh", "xq", "umo"), _with_gaps(g.vmo, "yq", "xh", "vmo"), g.corners, g.centers)
+    return out.select("section_id", "time", "z_l", "sect", "dir", (F.col("conv_mass_transport") + 0.0).alias("conv_mass_transport"))
+
+
+def q_missing_tracer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = SalesGrid(spark, sf_dir)
+    return sp.extract_tracer(section(g), g.spec, _with_gaps(g.thetao, "yh", "xh", "thetao"), "thetao")
+
+
+def q_reverse_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.reverse(section(SalesGrid(spark, sf_dir)))
+
+
+def q_closed_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = SalesGrid(spark, sf_dir)
+    return pt.grid_section(g.corners, pt.close(vertices(spark)), g.spec, DIGITS)
+
+
 def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = SalesGrid(spark, sf_dir)
     return spark.range(-3, 30).select(F.col("id").alias("idx"), g.spec.wrap(F.col("id"), "X").cast("long").alias("x"), g.spec.wrap(F.col("id"), "Y").cast("long").alias("y"))

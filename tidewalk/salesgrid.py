@@ -17,14 +17,22 @@ class SalesGrid:
     spark: SparkSession
     sf_dir: str
     spec: GridSpec = GridSpec(nx=24, ny=16)
+    lon0: float = 0.0  # of the first corner
+    dlon: float = 15.0
+    lat0: float = -80.0
+    dlat: float = 10.0
+
+    def _mesh(self, rows: int, columns: int, j: str, i: str, shift: float) -> DataFrame:
+        lon, lat = self.dlon * (F.col(i) + shift) + self.lon0, self.dlat * (F.col(j) + shift) + self.lat0
+        return mesh(self.spark, rows, columns, j, i).select(j, i, lon.alias("lon"), lat.alias("lat"))
 
     @property
     def corners(self) -> DataFrame:
-        return mesh(self.spark, 17, 25, "yq", "xq").select("yq", "xq", (15.0 * F.col("xq")).alias("lon"), (10.0 * F.col("yq") - 80).alias("lat"))
+        return self._mesh(self.spec.corners_y, self.spec.corners_x, "yq", "xq", 0.0)
 
     @property
     def centers(self) -> DataFrame:
-        return mesh(self.spark, 16, 24, "yh", "xh").select("yh", "xh", (15.0 * F.col("xh") + 7.5).alias("lon"), (10.0 * F.col("yh") - 75).alias("lat"))
+        return self._mesh(16, 24, "yh", "xh", 0.5 if self.spec.symmetric else -0.5)
 
     @property
     def widths(self) -> tuple[DataFrame, DataFrame]:
