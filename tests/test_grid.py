@@ -214,3 +214,36 @@ def test_streamed_totals(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.total for r in spark.table("totals").orderBy("window").collect()] == [-1.0] * 4
+
+
+def test_reverse_close_and_compare(spark, coarse):
+    rows = [("o", 0, 0.0, -80.0), ("o", 1, 120.0, -80.0), ("o", 2, 120.0, 0.0), ("c", 0, 0.0, 0.0), ("c", 1, 60.0, 0.0), ("c", 2, 0.0, 0.0)]
+    vertices = spark.createDataFrame(rows, "section_id string, k long, lon double, lat double")
+    assert sorted(map(tuple, pt.close(vertices).collect())) == sorted([*rows, ("o", 3, 0.0, -80.0)])
+    path = pt.grid_section(coarse[0], vertices, coarse[1])
+    back = {(r.section_id, r.pt): (r.i, r.j) for r in pt.reverse(path).collect()}
+    last = {r.section_id: r.n for r in path.groupBy("section_id").agg(F.max("pt").alias("n")).collect()}
+    assert all(back[r.section_id, last[r.section_id] - r.pt] == (r.i, r.j) for r in path.collect())
+    assert pt.differences(path, path.withColumn("lon", F.col("lon") - 360 + 1e-9)).count() == 0
+    assert pt.differences(path, path.withColumn("lon", F.col("lon") + F.when(F.col("pt") == 1, 1e-3).otherwise(0))).count() == 2
+    assert pt.differences(path, path.where("pt > 0")).count() == 2
+
+
+def test_unknown_insides_are_errors(spark):
+    spec = GridSpec(3, 2)
+    u = fields.from_arrays(spark, [[0.0] * 4] * 2, ["yh", "xq"], "umo")
+    v = fields.from_arrays(spark, [[1.0] * 3] * 3, ["yq", "xh"], "vmo")
+    path = spark.createDataFrame([(0, k, i, 1, 120.0 * i, 0.0) for k, i in enumerate([0, 1, 2, 0])], "section_id long, pt long, i long, j long, lon double, lat double")
+    mask = spark.createDataFrame([(0, 1, True)], "yh long, xh long, inside boolean")
+    with pytest.raises(PySparkException):
+        sp.convergent_transport(path, spec, u, v, layer=None, positive_in=mask).collect()
+    with pytest.raises(PySparkException):
+        sp.convergent_transport(path.withColumn("lon", F.lit(float("nan"))), spec, u, v, layer=None).collect()
+
+
+def test_layers(spark):
+    layers = dg.layer_table(spark, [1, 2], [0, 10, 30])
+    got = dg.with_layers(spark.createDataFrame([(1, 5.0), (2, 6.0), (9, 7.0)], "z_l long, t double"), layers).orderBy("z_l").collect()
+    assert [(r.top, r.bottom, r.thickness) for r in got] == [(0, 10, 10), (10, 30, 20), (None, None, None)]
+    with pytest.raises(ValueError):
+        dg.layer_table(spark, [1], [0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidewalk.plans.grid import GridSpec, check_mask
 
@@ -38,6 +38,20 @@ def overturning(transports: DataFrame, value: str = "conv_mass_transport", layer
     return run.unionByName(edge)
 
 
+def layer_table(spark: SparkSession, layers: list[float], interfaces: list[float], layer: str = "z_l") -> DataFrame:
+    """``(layer, top, bottom, thickness)`` from a layer axis and its interfaces, one more than layers."""
+    if len(interfaces) != len(layers) + 1:
+        raise ValueError("there is one interface more than layers")
+    rows = [(float(c), float(a), float(b), abs(float(b) - float(a))) for c, a, b in zip(layers, interfaces, interfaces[1:])]
+    return spark.createDataFrame(rows, f"{layer} double, top double, bottom double, thickness double")
+
+
+def with_layers(transports: DataFrame, layers: DataFrame, layer: str = "z_l") -> DataFrame:
+    """Transports with the interfaces of their layers; a layer that the table doesn't have gets nulls."""
+    held = layers.withColumnRenamed(layer, "_layer")
+    return transports.join(held, F.col(layer).cast("double") == F.col("_layer"), "left").drop("_layer")
+
+
 def boundary_faces(mask: DataFrame, spec: GridSpec, inside: str = "inside") -> DataFrame:
     """Faces between cells in and out of a mask: ``(var, i, j, sign)``, sign 1 where the positive direction leads inside.
 

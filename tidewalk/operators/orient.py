@@ -16,7 +16,7 @@ def counterclockwise(path: DataFrame, geometry: str = "spherical", lon: str = "l
     """``(section_id, counterclockwise, is_closed)`` by the sign of the area that ``path(section_id, pt, lon, lat)`` encloses.
 
     Ends more than 10 m apart are joined; which way an open section turns is then a convention.  On a sphere the area is that of the
-    polar stereographic picture.
+    polar stereographic picture.  With a missing coordinate it is null.
     """
     if geometry not in GEOMETRIES:
         raise ValueError(f"geometry must be one of {GEOMETRIES}")
@@ -25,8 +25,9 @@ def counterclockwise(path: DataFrame, geometry: str = "spherical", lon: str = "l
     whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ends = path.select("section_id", "pt", x.alias("x"), y.alias("y"), (distance(F.first(lon).over(whole), F.first(lat).over(whole), F.last(lon).over(whole), F.last(lat).over(whole)) <= 10).alias("closed"))
     nxt = lambda c: F.coalesce(F.lead(c).over(by), F.when(~F.col("closed"), F.first(c).over(by)))
-    ends = ends.select("section_id", "closed", ((nxt("x") - F.col("x")) * (nxt("y") + F.col("y"))).alias("part"))
-    return ends.groupBy("section_id").agg((F.sum("part") < 0).alias("counterclockwise"), F.first("closed").alias("is_closed"))
+    missing = F.isnan("x") | F.isnan("y") | F.col("x").isNull() | F.col("y").isNull()
+    ends = ends.select("section_id", "closed", missing.alias("missing"), ((nxt("x") - F.col("x")) * (nxt("y") + F.col("y"))).alias("part"))
+    return ends.groupBy("section_id").agg(F.when(~F.max("missing"), F.sum("part") < 0).alias("counterclockwise"), F.first("closed").alias("is_closed"))
 
 
 def mask_inside(mask: DataFrame, found: DataFrame, spec: GridSpec, sect: int = 0, inside: str = "inside") -> DataFrame:

@@ -62,6 +62,18 @@ def close(vertices: DataFrame) -> DataFrame:
     return vertices.select("section_id", "k", "lon", "lat").unionByName(again.select("section_id", (F.col("_last") + 1).alias("k"), "lon", "lat"))
 
 
+def differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Points ``(section_id, pt)`` where two paths differ: one has no such point, another corner, or a place further off than ``tolerance`` degrees.
+
+    Longitudes a whole turn apart are one.
+    """
+    turn = lambda x, y: F.abs(F.pmod(x - y + 180.0, F.lit(360.0)) - 180.0)
+    held = a.alias("a").join(b.alias("b"), ["section_id", "pt"], "full")
+    c = lambda n: (F.col(f"a.{n}"), F.col(f"b.{n}"))
+    same = (c("i")[0] == c("i")[1]) & (c("j")[0] == c("j")[1]) & (turn(*c("lon")) <= tolerance) & (F.abs(c("lat")[0] - c("lat")[1]) <= tolerance)
+    return held.where(~F.coalesce(same, F.lit(False))).select("section_id", "pt")
+
+
 def find_closest(points: DataFrame, corners: DataFrame, spec: GridSpec, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``points`` with ``i`` and ``j`` of the nearest corner."""
     held = points.crossJoin(grid_row(corners, spec))

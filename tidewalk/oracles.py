@@ -213,6 +213,8 @@ select k, r, round(case when lon < -180 + 1e-9 then 180.0 else lon end, 6) + 0.0
         "q_missing_tracer": _faces() + FIELDS + tracer + "t as (select section_id, time, z_l, sect, nullif(avg(case when (xh + yh) % 5 <> 0 then thetao end), 0) as thetao from sides join thetao on fj = yh and fi = xh group by section_id, time, z_l, sect) select * from t",
         "q_reverse_section": f"with recursive {_sections()} select section_id, max(pt) over (partition by section_id) - pt as pt, i, j, lon, lat from path",
         "q_closed_section": f"with recursive {_walk(_rows({n: x if x[0] == x[-1] else [*x, x[0]] for n, x in SECTIONS.items()}))} select section_id, pt, i, j, lon, lat from path",
+        "q_layers": _transports() + ", edges(z_l, top, bottom) as (values (1, 0.0::double, 10.0::double), (2, 10.0, 25.0), (3, 25.0, 50.0), (4, 50.0, 100.0), (5, 100.0, 250.0), (6, 250.0, 600.0), (7, 600.0, 1500.0)) select section_id, z_l, total, top, bottom, bottom - top as thickness from (select section_id, z_l, sum(conv_mass_transport) as total from conv group by all) left join edges using (z_l)",
+        "q_differences": f"with recursive {_sections()}, back as (select section_id, max(pt) over (partition by section_id) - pt as pt, i, j from path) select section_id, pt from path a join back b using (section_id, pt) where a.i <> b.i or a.j <> b.j",
         "q_wrap": "select range - 3 as idx, ((range - 3) % 24 + 24) % 24 as x, greatest(0, least(15, range - 3)) as y from range(33)",
         "q_orientation": f"with recursive {_sections()}{ORIENT} select section_id, counterclockwise, is_closed from orient",
         "q_mask_inside": _faces() + COORDS + _inside("10.0*{yh} - 75 < 0 and {xh} is not null") + " select section_id, inside from inside",

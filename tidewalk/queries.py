@@ -246,6 +246,19 @@ def q_meridional_overturning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.overturning(rows, "vmo", others=("time", "yq"))
 
 
+def q_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transports per layer with the depths of its interfaces."""
+    edges = [0.0, 10.0, 25.0, 50.0, 100.0, 250.0, 600.0, 1500.0]
+    layers = dg.layer_table(spark, [float(n) for n in range(1, 8)], edges)
+    return dg.with_layers(dg.totals(_transport(spark, sf_dir), ["section_id", "z_l"]), layers)
+
+
+def q_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sections and the same ones walked backwards part; both ways round the globe count as one longitude."""
+    path = section(SalesGrid(spark, sf_dir))
+    return pt.differences(path, pt.reverse(path).withColumn("lon", F.col("lon") + 360))
+
+
 def q_boundary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = SalesGrid(spark, sf_dir)
     return dg.boundary_faces(g.mask(F.col("lat") < 0), g.spec)
