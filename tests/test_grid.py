@@ -247,3 +247,24 @@ def test_layers(spark):
     assert [(r.top, r.bottom, r.thickness) for r in got] == [(0, 10, 10), (10, 30, 20), (None, None, None)]
     with pytest.raises(ValueError):
         dg.layer_table(spark, [1], [0])
+
+
+def test_tiles_give_the_same_paths(spark, one_degree, monkeypatch):
+    """Nearest corners and walks over tiles equal those over the grid's one row; legs that leave their tiles walk again."""
+    grid = fields.mesh(spark, 40, 72, "yq", "xq").withColumn("lon", 5.0 * F.col("xq") + 0.01 * F.col("yq")).withColumn("lat", 4.0 * F.col("yq") - 78 + 0.02 * F.col("xq"))
+    gaps = grid.withColumn("lon", F.when((F.col("xq") == 20) & F.col("yq").between(5, 30), F.lit(float("nan"))).otherwise(F.col("lon"))).where("not (xq > 60 and yq < 6)")
+    rows = [("a", 0, 3.0, -60.0), ("a", 1, 80.0, 10.0), ("a", 2, 81.0, 11.0), ("b", 0, 350.0, 40.0), ("b", 1, 12.0, 52.0), ("c", 0, 33.0, 60.0), ("c", 1, 200.0, 66.0)]
+    vertices = spark.createDataFrame(rows, "section_id string, k long, lon double, lat double")
+    points = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 37 % 360).cast("double").alias("lon"), (F.col("id") * 17 % 160 - 80).cast("double").alias("lat"))
+    one, around = vertices.where("section_id <> 'b'"), vertices
+    cases = [(grid, GridSpec(72, 40, symmetric=False), around, ((-0.4, 0.1, None),)), (gaps, GridSpec(72, 40, symmetric=False, periodic_x=False), one, ((-0.4, None),))]
+    for table, spec, places, some in cases:
+        want = sorted(map(tuple, pt.find_closest(points, table, spec).collect()))
+        path = sorted(map(tuple, pt.grid_section(table, places, spec, 6).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(pt, "IN_A_ROW", 0)
+            m.setattr(pt, "TILE", 7)
+            assert sorted(map(tuple, pt.find_closest(points, table, spec).collect())) == want
+            for margins in some:
+                m.setattr(pt, "MARGINS", margins)
+                assert sorted(map(tuple, pt.grid_section(table, places, spec, 6).collect())) == path
