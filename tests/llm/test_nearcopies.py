@@ -38,11 +38,11 @@ def brute(texts):
     return of
 
 
-@pytest.mark.parametrize("how", [{}, {"few": 2, "block": 3}])
+@pytest.mark.parametrize("how", [{}, {"few": 2, "block": 3}, {"few": 2, "most": 500}])
 def test_one_of_each_class(spark, how):
     texts = near_texts()
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    kept = nearcopies.deduplicate(df, **how)
+    kept = simhash.deduplicate(df, **how)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
     assert nearcopies.deduplicate(df.where("false")).count() == 0

@@ -5,12 +5,15 @@ least 3 of ``radius + 3`` bit fields, so pairs are looked for only within bucket
 three fields (20 bucket keys of about 32 bits for the usual radius of 3).  Distances to pivots
 alone can't deal pairs out to machines: nearly uniform fingerprints all lie about 32 from any
 pivot, so no range of distances is selective.  Within a bucket the pivot distance table does
-the work: distances to many reference fingerprints are computed once per row, pairs whose
+the work: distances to 16 reference fingerprints are computed once for each distinct fingerprint and travel with it, pairs whose
 coordinates differ by more than the radius anywhere are discarded (triangle inequality), and
 the survivors are verified on the fingerprints themselves.
 
 A bucket never yields all its pairs: it yields the edges of a spanning forest.  Buckets over
 ``block`` rows are dealt out as pairs of blocks, so that a task holds two blocks at most.
+
+``deduplicate`` is for whole corpora: it links by similarity, with fingerprints of 256 bits, a radius that no similar pair
+exceeds, the same pivot tables, and a last look at the shingles themselves (module ``nearcopies``).
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, as_bytes, cut, mix64
+from . import nearcopies
+from .common import LOWER, as_bytes, cut, spread_join
 from .graph import components
+from .hamming import majority, near, pivots
 
-_LANES = np.uint64(0x0101010101010101)
+_PIVOTS = 16
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -36,18 +41,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=len(words) - width + 1)
-    n = len(h)
-    if not n:
-        return 0
-    ones = np.zeros((8, 8), dtype=np.int64)  # [bit of a byte, byte]
-    for at in range(0, n, 1 << 14):
-        part = h[at : at + (1 << 14)]
-        starts = np.arange(0, len(part), 255)  # a byte lane counts to 255
-        for bit in range(8):
-            lanes = np.add.reduceat((part >> np.uint64(bit)) & _LANES, starts)
-            ones[bit] += lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > n).T.reshape(64)  # byte by byte, low bit first
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(majority(h, np.zeros(1, dtype=np.int64))[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
@@ -61,24 +55,17 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def pivots(n: int) -> np.ndarray:
-    """``n`` reference fingerprints, by rule."""
-    return mix64(np.arange(1, n + 1, dtype=np.uint64))
-
-
-def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distances of every fingerprint to every reference."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
-
-
-def _near(fps, table, left, right, radius):
-    """Mask of the pairs (left[i], right[i]) within ``radius``: coordinate by coordinate, then exactly."""
-    alive = np.arange(len(left))
-    for k in range(table.shape[1]):
-        if not len(alive):
-            break
-        alive = alive[np.abs(table[left[alive], k] - table[right[alive], k]) <= radius]
-    return alive[np.bitwise_count(fps[left[alive]] ^ fps[right[alive]]) <= radius]
+def _coordinates(fp: str) -> tuple[Column, ...]:
+    """Distances to the pivots, a byte each in two longs."""
+    refs = pivots(_PIVOTS).view(np.int64).ravel().tolist()
+    far = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(r))).cast("long") for r in refs]
+    packed = []
+    for at in (0, 8):
+        c = far[at]
+        for i in range(1, 8):
+            c = c.bitwiseOR(F.shiftleft(far[at + i], 8 * i))
+        packed.append(c)
+    return tuple(c.alias(f"p{i}") for i, c in enumerate(packed))
 
 
 def _small(fps, table, group, largest, radius):
@@ -95,7 +82,7 @@ def _small(fps, table, group, largest, radius):
         left = np.flatnonzero(group[:-step] == group[step:]) if step < n else np.array([], dtype=np.int64)
         if not len(left):
             break
-        hit = left[_near(fps, table, left, left + step, radius)]
+        hit = left[near(fps[:, None], table, left, left + step, radius)]
         for a, b in zip(hit.tolist(), (hit + step).tolist()):
             x, y = root(a), root(b)
             if x != y:
@@ -120,7 +107,7 @@ def _large(fps, table, radius, width=64):
             found = []
             for x in here.tolist():
                 rest = open_[lo:hi]
-                hit = rest[_near(fps, table, np.full(len(rest), x), rest, radius)]
+                hit = rest[near(fps[:, None], table, x, rest, radius)]
                 if len(hit):
                     edges += [(x, y) for y in hit.tolist()]
                     found.append(hit)
@@ -130,11 +117,10 @@ def _large(fps, table, radius, width=64):
     return [(int(order[a]), int(order[b])) for a, b in edges]
 
 
-def forest(fps: np.ndarray, group: np.ndarray, refs: np.ndarray, radius: int, small: int = 32) -> list[tuple[int, int]]:
-    """Row pairs linking every class of each group; ``group`` is sorted."""
+def forest(fps: np.ndarray, group: np.ndarray, table: np.ndarray, radius: int, small: int = 32) -> list[tuple[int, int]]:
+    """Row pairs linking every class of each group; ``group`` is sorted, ``table`` has the fingerprints' pivot distances."""
     if not len(fps):
         return []
-    table = pivot_table(fps, refs)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     little = np.flatnonzero(np.repeat(sizes <= small, sizes))
@@ -144,7 +130,7 @@ def forest(fps: np.ndarray, group: np.ndarray, refs: np.ndarray, radius: int, sm
     return edges
 
 
-def links(distinct: DataFrame, radius: int = 3, n_pivots: int = 24, block: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``distinct(fp)`` whose components are those of all pairs within ``radius``."""
     fields = radius + 3
     edge = [64 * i // fields for i in range(fields + 1)]
@@ -152,38 +138,35 @@ def links(distinct: DataFrame, radius: int = 3, n_pivots: int = 24, block: int =
     for n, chosen in enumerate(combinations(range(fields), 3)):
         mask = sum(((1 << (edge[c + 1] - edge[c])) - 1) << edge[c] for c in chosen)
         mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(n).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.t", "key.k")
-    full = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("m", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+        # a hash of a bucket's key stands for it: two buckets under one hash only compare more pairs
+        keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(mask))))
+    keyed = distinct.select("fp", *_coordinates("fp"), F.explode(F.array(*keys)).alias("bucket"))
+    full = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("m", F.ceil(F.col("n") / block).cast("int")), "buckets")
     dealt = (
-        keyed.join(full, ["t", "k"])
-        .withColumn("own", own)
+        spread_join(keyed, full, "bucket")
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select(F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "t", "k", "fp")
+        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "p0", "p1")
     )
-    refs = pivots(n_pivots)
 
     def run(batches):
-        held_fp, held_g = np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
+        held = np.zeros((0, 4), dtype=np.int64)
 
-        def out(fps, g):
-            pairs = np.array(forest(fps, g, refs, radius), dtype=np.int64).reshape(-1, 2)
-            signed = fps.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], names=["u", "v"])
+        def out(rows):
+            fps = rows[:, 1].copy()
+            pairs = np.array(forest(fps.view(np.uint64), rows[:, 0], rows[:, 2:].copy().view(np.uint8).astype(np.int16), radius), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(fps[pairs[:, 0]]), pa.array(fps[pairs[:, 1]])], names=["u", "v"])
 
         for b in batches:
-            g = np.r_[held_g, b.column(0).to_numpy(zero_copy_only=False)]
-            fps = np.r_[held_fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            whole = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
+            held = np.r_[held, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)]
+            whole = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0  # the last group may go on
             if whole:
-                yield out(fps[:whole], g[:whole])
-            held_fp, held_g = fps[whole:], g[whole:]
-        if len(held_g):
-            yield out(held_fp, held_g)
+                yield out(held[:whole])
+            held = held[whole:]
+        if len(held):
+            yield out(held)
 
-    # a hash of a bucket's key stands for it: two buckets under one hash only compare more pairs
-    return dealt.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
@@ -191,29 +174,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Documents link when their fingerprints differ in at most ``radius`` bits; ``component_id`` is
     the smallest doc_id reachable over links, the document's own included.  Null or empty texts
-    have fingerprint zero and link like any other.  A null doc_id keeps its row and joins its
+    have fingerprint zero and link like any other; texts are read whole, however long.  A null doc_id keeps its row and joins its
     class, and never names one (a class of null ids only has a null id).  Repeated rows repeat.
-    Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Other columns of ``docs``, whatever their names, are ignored; an empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, text, doc_id, width, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "names")
+    classes = cut(spread_join(rooted, names.withColumnRenamed("n", "members"), "root", "members").select("fp", "n", "component_id"), "classes")
+    return spread_join(fps, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest id, with all its columns.
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, **how) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id, with all its columns.
 
-    Rows with a null id stay, as no class can be named after them; of several rows with one id,
-    one stays.
+    Texts link when the Jaccard similarity of their ``width``-word shingles is ``similarity`` or more; see ``nearcopies.deduplicate``.
     """
-    seen = near_duplicates(docs, text, doc_id, **how).where("doc_id = component_id")
-    keep = cut(seen.groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    # the ids that stay grow with the corpus: joined by shuffle at every size
-    held = docs.join(keep.hint("merge"), docs[doc_id].cast("long") == F.col("_keep"))
-    once = held.where("_n = 1").drop("_keep", "_n")
-    more = held.where("_n > 1").drop("_keep", "_n").dropDuplicates([doc_id])
-    return once.unionByName(more).unionByName(docs.where(docs[doc_id].isNull()))
+    return nearcopies.deduplicate(docs, text, doc_id, width, similarity, **how)
