@@ -26,30 +26,42 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import nearcopies
-from .common import LOWER, as_bytes, cut, spread_join
+from .common import LOWER, as_bytes, cut, sliced, spread_join
 from .graph import components
 from .hamming import majority, near, pivots
 
 _PIVOTS = 16
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a UTF-8 text's word shingles, unsigned; 0 without words."""
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each of a UTF-8 text's word shingles; a text of fewer words is one, one without words none."""
     words = text.translate(LOWER).split()
     if len(words) < width:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], dtype=np.uint64)
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=len(words) - width + 1)
-    return int(majority(h, np.zeros(1, dtype=np.int64))[0]) if len(h) else 0
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=len(words) - width + 1)
+
+
+def fingerprint_all(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
+    """The 64-bit SimHash of each text, unsigned; 0 without words."""
+    h = [shingle_hashes(t, width, seed) for t in texts]
+    n = np.array([len(x) for x in h], dtype=np.int64)
+    out = np.zeros(len(texts), dtype=np.uint64)
+    if n.any():
+        out[n > 0] = majority(np.concatenate(h), np.r_[0, np.cumsum(n[n > 0])[:-1]])
+    return out
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    return int(fingerprint_all([text], width, seed)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp)`` of every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t, width, seed) for t in as_bytes(b.column(1))], dtype=np.uint64)
+        for b in sliced(batches, 128):
+            fps = fingerprint_all(as_bytes(b.column(1)), width, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
