@@ -25,8 +25,10 @@ def _codebook(x: np.ndarray, size: int, rounds: int, rng) -> np.ndarray:
     for _ in range(rounds):
         near = _nearest(x, centres)
         n = np.bincount(near, minlength=size)
+        order = np.argsort(near, kind="stable")
+        some = np.flatnonzero(n)
         total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        total[some] = np.add.reduceat(x[order], np.r_[0, np.cumsum(n)[:-1]][some], axis=0)
         centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
         if (n == 0).any():
             worst = np.argsort(-((x - centres[near]) ** 2).sum(1))[: int((n == 0).sum())]
@@ -56,16 +58,15 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(books)), dtype=np.int32)
 
 
-def train(sample: np.ndarray, n_books: int = 16, size: int = 256, rounds: int = 8, beam: int = 4) -> np.ndarray:
-    """Codebooks (n_books, size, dimensions) from unit vectors."""
+def train(sample: np.ndarray, n_books: int = 16, size: int = 256, rounds: int = 8) -> np.ndarray:
+    """Codebooks (n_books, size, dimensions) from unit vectors, each on what the ones before leave of the sample."""
     rng = np.random.default_rng(7)
     books: list[np.ndarray] = []
-    left = sample
+    left = sample.astype(np.float32)
     for _ in range(n_books):
         books.append(_codebook(left, size, rounds, rng))
-        codes = encode(sample, np.array(books), beam)
-        left = sample - sum(b[codes[:, i]] for i, b in enumerate(books))
-    return np.array(books)
+        left = left - books[-1][_nearest(left, books[-1])]
+    return np.array(books, dtype=np.float64)
 
 
 class AdditiveIndex:
@@ -131,6 +132,6 @@ def nearest(
     taken = rows.select(F.col(vector).alias("v"), F.xxhash64(vec_id).alias("h")).orderBy("h").limit(sample).select(F.col("v").cast("array<double>").alias("v")).toArrow()
     held = [np.array(v) for v in taken["v"].to_pylist()]
     unit = search.padded(held) if held else np.ones((1, 1))
-    books = train(unit / np.sqrt((unit**2).sum(1))[:, None], n_books, min(size, max(1, len(unit))), beam=beam)
+    books = train(unit / np.sqrt((unit**2).sum(1))[:, None], n_books, min(size, max(1, len(unit))))
     sent = rows.sparkSession.sparkContext.broadcast(books)
     return search.blocked(rows, is_query, lambda ids, vs: AdditiveIndex(ids, vs, sent.value, beam, rerank), k, "double", vector, vec_id, block)
