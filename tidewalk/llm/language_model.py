@@ -400,7 +400,7 @@ def score_tokens(model: CountFilter | Answers, t: Tokens, n: int, v: int, pair_w
 
 def evaluate(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, pair_weight: float = 400.0, triple_weight: float = 10.0,
-    probes: int = 4, chunk_bytes: int = 4 << 20, range_bits: int | None = None, most_bytes: int = 256 << 20,
+    probes: int = 4, chunk_bytes: int = 2 << 20, range_bits: int | None = None, most_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Learn from the rows whose fold of the id is not ``held``, and score all: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
