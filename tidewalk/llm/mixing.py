@@ -7,8 +7,8 @@ to be seen 2.3 times gives two whole blocks, each a permutation of all its docum
 part of a third one, up to the tokens it still owes.
 
 Only sums over sources reach the driver.  A source's last block is cut by a threshold on the hash that
-permutes it, found from sums over 4,096 ranges of that hash and then within one range, so no source's
-documents are ever gathered in one place.
+permutes it, found from sums over 4,096 ranges of that hash, then over 4,096 parts of one range, then within one part, so no source's
+documents are ever gathered in one place.  Texts are counted once, into a table of hashes and counts.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def temperature(sources: DataFrame, target_entropy: float | None = None, max_epo
         return factor * np.maximum(seen(least), seen(most)) <= max(max_epochs, 1.0) * (1 + 1e-12)
 
     low, high = 0.0, 8.0 if target_entropy is not None else 1.0
-    for _ in range(6):  # each round halves the interval five times over
+    for _ in range(8):  # each round halves the interval five times over
         alphas = np.linspace(low, high, 33)
         at = int(np.argmax(good)) if (good := enough(alphas)).any() else len(alphas) - 1
         if at == 0:
@@ -84,6 +84,12 @@ def temperature(sources: DataFrame, target_entropy: float | None = None, max_epo
     return Temperature(float(high), float(np.log(z[0])), float(budget or once))
 
 
+def _last_open(sums: DataFrame, at: str, *keep: str) -> DataFrame:
+    """Of ``sums(s, at, n, left)`` each source's last place whose predecessors leave something owed, and what they leave."""
+    held = sums.withColumn("before", F.sum("n").over(W.partitionBy("s").orderBy(at)) - F.col("n")).where("before < left")
+    return held.groupBy("s", *keep).agg(F.max_by(F.col("left") - F.col("before"), at).alias("left"), F.max(at).alias(at))
+
+
 def mix(
     docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", tokens: Column | None = None,
     target_entropy: float | None = None, max_epochs: float | None = 2.0, budget: float | None = None, seed: int = 17,
@@ -92,31 +98,43 @@ def mix(
 
     ``_block`` counts a document's repetitions from 0; in the order of ``_place``, in [0, 1), the sources come in their weights throughout.
     A null source counts as the empty one.  Null and empty texts have no tokens; a source without any is shown once.
-    Repeated rows are shown together or not at all; null ids stay.  An empty table gives an empty result.
+    Repeated rows have one place, and are shown together or not at all; null ids stay; texts are counted whole, however long.  Columns of any names are
+    kept, but for ``_block`` and ``_place``, which are replaced.  An empty table gives an empty result.
     """
     if target_entropy is not None:
         max_epochs = None
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    tokens = words(text) if tokens is None else tokens
     last = _place(doc_id, text, F.lit(seed))
-    rows = docs.select(key.alias("s"), F.floor(last * RANGES).cast("int").alias("r"), tokens.alias("n"))
-    ranges = cut(rows.groupBy("s", "r").agg(F.sum("n").alias("n")), "ranges")
+    counted = cut(docs.select(key.alias("s"), last.alias("u"), (words(text) if tokens is None else tokens).alias("n")), "counted")
+    counted = counted.withColumns({"r": F.floor(F.col("u") * RANGES), "part": F.floor(F.col("u") * (RANGES * RANGES)) % RANGES})
+    ranges = cut(counted.groupBy("s", "r").agg(F.sum("n").alias("n")), "ranges")
     sources = ranges.groupBy("s").agg(F.sum("n").alias("tokens"))
     found = temperature(sources.select(F.col("s").alias("source"), "tokens"), target_entropy, max_epochs, budget)
     total = sources.agg(F.sum("tokens")).first()[0] or 1
     # how often each source is seen, and the tokens its last block owes
     seen = F.when(F.col("tokens") > 0, found.weight(F.col("tokens") / F.lit(float(total))) * F.lit(found.budget) / F.col("tokens")).otherwise(F.lit(1.0))
-    seen = F.when(F.abs(seen - F.round(seen)) < 1e-9, F.round(seen)).otherwise(seen)
-    plan = sources.select("s", seen.alias("seen")).join(sources, "s").withColumn("whole", F.floor("seen").cast("int")).withColumn("owed", (F.col("seen") - F.col("whole")) * F.col("tokens"))
-    plan = cut(plan.select("s", "seen", "whole", "owed"), "plan")
-    before = F.sum("n").over(W.partitionBy("s").orderBy("r")) - F.col("n")
-    edge = ranges.withColumn("before", before).join(plan, "s").where((F.col("owed") > 0) & (F.col("before") < F.col("owed"))).groupBy("s").agg(F.max("r").alias("r"), F.max_by(F.col("owed") - F.col("before"), "r").alias("left"))
-    # within the range where the block ends: the last document whose predecessors leave something owed
-    inside = docs.select(key.alias("s"), last.alias("u"), tokens.alias("n")).withColumn("r", F.floor(F.col("u") * RANGES).cast("int")).join(edge, ["s", "r"])
-    inside = inside.withColumn("before", F.sum("n").over(W.partitionBy("s", "r").orderBy("u")) - F.col("n")).where("before < left").groupBy("s").agg(F.max("u").alias("until"))
-    plan = cut(plan.join(inside, "s", "left").select("s", "seen", "whole", F.coalesce("until", F.lit(-1.0)).alias("until")), "plan")
-    shown = docs.join(plan.withColumnRenamed("s", "_s"), key == F.col("_s"))
-    times = F.col("whole") + (last <= F.col("until")).cast("int")
-    shown = shown.where(times > 0).withColumn("_block", F.explode(F.sequence(F.lit(0), times - 1)))
-    place = F.when(F.col("_block") < F.col("whole"), _place(doc_id, text, F.lit(seed) + 1 + F.col("_block"))).otherwise(last)
-    return shown.withColumn("_place", F.least((F.col("_block") + place) / F.greatest("seen", F.lit(1e-300)), F.lit(1.0 - 2.0**-53))).select(*[docs[c] for c in docs.columns], "_block", "_place")
+    plan = sources.withColumn("seen", seen).withColumn("seen", F.when(F.abs(F.col("seen") - F.round("seen")) < 1e-9, F.round("seen")).otherwise(F.col("seen")))
+    plan = cut(plan.withColumn("whole", F.floor("seen").cast("int")).select("s", "seen", "whole", ((F.col("seen") - F.col("whole")) * F.col("tokens")).alias("owed")), "plan")
+    edge = _last_open(ranges.join(plan.where("owed > 0"), "s").select("s", "r", "n", F.col("owed").alias("left")), "r")
+    within = _last_open(counted.join(edge, ["s", "r"]).groupBy("s", "r", "part", "left").agg(F.sum("n").alias("n")), "part", "r")
+    # within the part where the block ends: the last place whose predecessors leave something owed
+    inside = _last_open(counted.join(within, ["s", "r", "part"]).groupBy("s", "u", "left").agg(F.sum("n").alias("n")), "u").withColumnRenamed("u", "until")
+    plan = cut(plan.join(inside.drop("left"), "s", "left").select(F.col("s").alias("_s"), "seen", "whole", F.coalesce("until", F.lit(-1.0)).alias("until")), "plan")
+    # the documents' own columns stay in a struct, out of the way of the names used here
+    kept = [c for c in docs.columns if c not in ("_block", "_place")]
+    shown = docs.select(F.struct(*kept).alias("_row"), key.alias("_key"), last.alias("_last")).join(plan, F.col("_key") == F.col("_s"))
+    shown = shown.withColumn("_times", F.col("whole") + (F.col("_last") <= F.col("until")).cast("int")).where("_times > 0")
+    shown = shown.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    again = F.pmod(F.xxhash64(F.lit(seed) + 1 + F.col("_block"), F.col(f"_row.{doc_id}"), F.col(f"_row.{text}")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    place = F.when(F.col("_block") < F.col("whole"), again).otherwise(F.col("_last"))
+    return shown.select("_row.*", "_block", F.least((F.col("_block") + place) / F.greatest("seen", F.lit(1e-300)), F.lit(1.0 - 2.0**-53)).alias("_place"))
+
+
+def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of ``mix`` in the order of ``_place``, which is dropped with ``_block``: partition by partition, and so file by file where they are written.
+
+    Places are even in [0, 1), so equal intervals of them are partitions of like size, without a look at the data.
+    """
+    parts = parts or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mixed.repartitionById(parts, F.floor(F.col("_place") * parts).cast("int")).sortWithinPartitions("_place", "_block")
+    return dealt.drop("_block", "_place")
