@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a shorter run holds no longer one, so this equals matching runs and dropping the short
@@ -64,22 +64,26 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """``(value, n_repos, n_owners)``: over how many repositories and owners each value is spread."""
-    repos = spans.select("value", "repo").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_repos"))
-    owners = spans.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
+    """``(value, n, n_repos, n_owners)``: how often each value is there, and over how many repositories and owners it is spread.
+
+    Every count is summed up before it is shuffled, so a value that is everywhere is a few rows a task.
+    """
+    per = spans.groupBy("value", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
+    repos = per.groupBy("value", "repo").agg(F.sum("n").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_repos"))
+    owners = per.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
     return repos.join(owners, "value")
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repo: str = "source", owner: str | None = None, max_owners: int = 2) -> DataFrame:
-    """One row per input row: ``doc_id, digest, spans``.
+    """One row per input row: ``doc_id, digest, spans``.  ``repo`` and ``owner`` name columns; where documents know one of them only, it stands for both.
 
     ``digest`` is xxhash64 of the text; ``spans`` an array of (start, kind, end, verdict, n_repos,
     n_owners), by start and then kind as listed in KINDS; verdict is ``live``, ``example`` or ``weak``.  Null and empty
-    texts have no spans; null ids, repositories and owners are kept (a null repository or owner is one like any other); repeated rows repeat; other columns are
-    ignored; an empty table gives an empty result.
+    texts have no spans, long ones are read whole; null ids, repositories and owners are kept (a null repository or owner is one like any other); repeated rows repeat; other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     rows, spans = candidates(docs, text, doc_id, repo, owner)
-    known = spans.join(ownership(spans), "value")
+    known = spread_join(spans, cut(ownership(spans), "ownership"), "value")
     verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_owners), "example").when(F.col("looks"), "live").otherwise("weak")
     known = known.withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
     # a run goes if a base span overlaps it
@@ -107,19 +111,25 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", marker: str = "[SECRET]", n_chars: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` with every live or weak span replaced by ``marker``; widely copied examples stay as they are.
 
-    Every row and column stays, and ``n_chars``, where given and there, follows the new text.
+    Every row and column stays, whatever the columns' names, and ``n_chars``, where given and there, follows the new text.  Overlapping spans are one marker.
+    Null texts stay null; null ids and repeated rows are treated like others; an empty table gives an empty result.
     """
     found = scan(docs, text, doc_id, **how).where("size(spans) > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.filter("spans", lambda s: s.verdict != "example").alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_id", "_digest"])
+    # the documents' own columns stay in a struct, out of the way of the names used here
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_sum"))
     # documents with secrets grow with the corpus: joined by shuffle at every size
-    held = docs.join(found.hint("merge"), docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_digest")), "left")
+    held = held.join(found.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_digest")), "left")
+    old = F.col("_row")[text]
     # state: the text so far, and where in the old text to go on
     step = lambda at, s: F.when(s.end <= at.pos, at).otherwise(
-        F.struct(F.concat(at.out, F.when(s.start >= at.pos, F.concat(held[text].substr(at.pos + 1, s.start - at.pos), F.lit(marker))).otherwise(F.lit(""))).alias("out"), s.end.alias("pos"))
+        F.struct(F.concat(at.out, F.when(s.start >= at.pos, F.concat(old.substr(at.pos + 1, s.start - at.pos), F.lit(marker))).otherwise(F.lit(""))).alias("out"), s.end.alias("pos"))
     )
-    tail = lambda at: F.concat(at.out, held[text].substr(at.pos + 1, F.length(held[text]).cast("long") - at.pos))
-    new = F.when(F.col("_spans").isNull(), held[text]).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")), step, tail))
-    out = held.withColumn(text, new)
-    if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_spans").isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return out.select(*docs.columns)
+    tail = lambda at: F.concat(at.out, old.substr(at.pos + 1, F.length(old).cast("long") - at.pos))
+    new = F.when(F.col("_spans").isNull(), old).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")), step, tail))
+    held = held.select("_row", "_spans", new.alias("_new"))
+    own = {c: F.col("_row")[c] for c in docs.columns}
+    own[text] = F.col("_new")
+    if n_chars and n_chars in own:
+        own[n_chars] = F.when(F.col("_spans").isNull(), own[n_chars]).otherwise(F.length("_new").cast(docs.schema[n_chars].dataType))
+    return held.select(*(x.alias(c) for c, x in own.items()))
