@@ -4,8 +4,7 @@ Features are the distinct character 6-grams of the lower-cased text, with a spac
 and for each run of other signs than letters and digits.  The model is fitted on at most ``sample`` labelled rows, half of
 them of either class if there are as many, taken by hash of the id.  Over these, document
 frequencies by class give each n-gram its naive Bayes log-count ratio and a likelihood
-ratio; the ``n_features`` n-grams that tell the classes apart best, of those in at
-least a share of the toxic texts, become features, each worth its
+ratio; the ``n_features`` n-grams that tell the classes apart best become features, each worth its
 log-count ratio where it occurs, and a logistic regression on them is fitted.  Scoring reads whole texts.
 """
 
@@ -15,11 +14,10 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_text, cut, fold, mix64
+from .common import as_text, cut, fold, mix64, sliced
 
 WIDTH = 6
 _TABLE = 1 << 20
@@ -55,7 +53,7 @@ class ToxicityModel:
     keys: np.ndarray  # sorted hashes
     weight: np.ndarray  # regression weight times log-count ratio
     bias: float
-    prior: float  # smoothed share of label 1
+    prior: float  # smoothed share of label 1 among all labels learned from
     marks: _Marks = field(init=False)
 
     def __post_init__(self):
@@ -75,35 +73,41 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[self.positions(text)].sum(), -40, 40))))
 
 
-def _frequencies(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """``(gram, n)``: in how many texts each n-gram is, perhaps only for those in ``only`` and a few others."""
-    sent = texts.sparkSession.sparkContext.broadcast(None if only is None else _Marks(only))
+def _frequencies(labelled: DataFrame) -> DataFrame:
+    """``(gram, p, q)``: in how many texts of label 1 and of label 0 each n-gram is."""
 
     def run(batches):
-        marks, held, n = sent.value, [], 0
-        for b in batches:
-            for text in as_text(b.column(0)):
-                h = hashes(text)
-                held.append(np.unique(h if marks is None else marks(h)))
-                n += len(held[-1])
-                if n > 8_000_000:
-                    yield out(held)
-                    held, n = [], 0
-        if held:
-            yield out(held)
+        held, n = ([], []), 0
+        for b in sliced(batches):
+            for text, toxic in zip(as_text(b.column(0)), b.column(1).to_pylist()):
+                held[toxic].append(np.unique(hashes(text)))
+                n += len(held[toxic][-1])
+                if n > 4_000_000:
+                    yield from out(held)
+                    held, n = ([], []), 0
+        yield from out(held)
 
     def out(held):
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["gram", "n"])
+        for toxic in (0, 1):
+            if held[toxic]:
+                keys, n = np.unique(np.concatenate(held[toxic]), return_counts=True)
+                n, none = pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), n if toxic else none, none if toxic else n], names=["gram", "p", "q"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "toxic").mapInArrow(run, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def _fit(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _evidence(pos: int, neg: int) -> Column:
+    """Log likelihood ratio of an n-gram's counts ``p`` of ``pos`` and ``q`` of ``neg`` against one share for both."""
+    p, q, both, total = F.col("p"), F.col("q"), F.col("p") + F.col("q"), float(pos + neg)
+    part = lambda a, expected: F.when(a > 0, a * F.log(a / expected)).otherwise(0.0)
+    return part(p, pos * both / total) + part(q, neg * both / total) + part(pos - p, pos * (total - both) / total) + part(neg - q, neg * (total - both) / total)
+
+
+def _fit(indices: np.ndarray, lengths: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows whose entries are the ratios, by accelerated gradient steps; the classes weigh alike."""
-    n, m = len(rows), len(ratio)
-    indices = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    n, m = len(lengths), len(ratio)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     value = ratio[indices]
     scale = 1 / max(np.sqrt(np.bincount(owner, weights=value**2, minlength=n).max(initial=0.0)), 1e-9)  # longest row to length 1
     value = value * scale
@@ -121,67 +125,64 @@ def _fit(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, ridge: float,
     return back_w * scale, float(back_b)
 
 
+def _labels(labels: DataFrame, modulus: int) -> DataFrame:
+    """``(_id, toxic)`` to learn from; of several labels of one id the largest counts."""
+    own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("_id").isNotNull())
+    return own.where(fold(F.col("_id"), modulus) != 0).groupBy("_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000) -> DataFrame:
     """``(text, toxic)`` of at most ``sample`` labelled ids whose fold is not 0, half of either class.
 
-    Of several labels of one id the largest counts, of several rows of one id any one.  The chosen
-    ids, a bounded number, are broadcast, so no text is shuffled.
+    Of several labels of one id the largest counts, of several texts of one id the first in order.  The chosen
+    ids, a bounded number, are broadcast, so no other text is shuffled.
     """
-    own = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (fold(labels["doc_id"], modulus) != 0))
-    own = own.groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    own = _labels(labels, modulus)
     some = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (1, 0)]
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "_id")
-    return rows.groupBy("_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def train(labelled: DataFrame, n_features: int = 8192, share: float = 0.002, least: int = 3, least_gain: float = 10.0, ridge: float = 3e-6) -> ToxicityModel:
+def train(labelled: DataFrame, n_features: int = 2048, ridge: float = 3e-6, prior: float | None = None) -> ToxicityModel:
     """A model from the bounded rows ``labelled(text, toxic)``.
 
-    N-grams in fewer than ``least`` or ``share`` of the toxic texts, or with less than ``least_gain`` evidence,
-    are no features.  Without rows of both classes every score is the smoothed share of label 1.
+    Only ``n_features`` n-grams with their counts, and which of them each row has, reach the driver.  ``prior`` is the share of label 1, by default that of these
+    rows; without rows of both classes every score is the share.
     """
     labelled = cut(labelled, "labelled")
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    prior = (pos + 0.5) / (pos + neg + 1)
+    prior = (pos + 0.5) / (pos + neg + 1) if prior is None else prior
     if not pos or not neg:
         return ToxicityModel(np.array([], dtype=np.int64), np.array([]), float(np.log(prior / (1 - prior))), prior)
-    found = _frequencies(labelled.where("toxic = 1")).where(F.col("n") >= max(least, share * pos)).toArrow()
-    order = np.argsort(found["gram"].to_numpy())
-    keys, p = found["gram"].to_numpy()[order], found["n"].to_numpy()[order].astype(np.float64)
-    q = np.zeros(len(keys))
-    rest = _frequencies(labelled.where("toxic = 0"), keys).toArrow()
-    gram, m = rest["gram"].to_numpy(), rest["n"].to_numpy()
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        same = keys[at] == gram
-        q[at[same]] = m[same]
-
-    def part(a, expected):
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    both, total = p + q, pos + neg
-    gain = part(p, pos * both / total) + part(q, neg * both / total) + part(pos - p, pos * (total - both) / total) + part(neg - q, neg * (total - both) / total)
-    best = np.flatnonzero(gain >= least_gain)
-    best = np.sort(best[np.lexsort((keys[best], -gain[best]))[:n_features]])
-    ratio = np.log((p[best] + 1) / (pos + 1)) - np.log((q[best] + 1) / (neg + 1))
-    sent = labelled.sparkSession.sparkContext.broadcast(ToxicityModel(keys[best], ratio, 0.0, prior))
+    best = _frequencies(labelled).orderBy(F.round(_evidence(pos, neg), 9).desc(), "gram").limit(n_features).toArrow().sort_by("gram")
+    keys, p, q = (best[c].to_numpy() for c in ("gram", "p", "q"))
+    ratio = np.log((p + 1) / (pos + 1)) - np.log((q + 1) / (neg + 1))
+    sent = labelled.sparkSession.sparkContext.broadcast(ToxicityModel(keys, ratio, 0.0, prior))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             has = [sent.value.positions(t) for t in as_text(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), b.column(1)], names=["at", "toxic"])
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow()
-    weight, bias = _fit([np.array(x, dtype=np.int64) for x in rows["at"].to_pylist()], ratio, rows["toxic"].to_numpy().astype(np.float64), ridge)
-    return ToxicityModel(keys[best], weight * ratio, bias, prior)
+    rows = labelled.select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow().combine_chunks()
+    at, y = rows["at"].combine_chunks(), rows["toxic"].to_numpy().astype(np.float64)
+    lengths = np.diff(at.offsets.to_numpy())
+    weight, bias = _fit(at.flatten().to_numpy(), lengths, ratio, y, ridge)
+    return ToxicityModel(keys, weight * ratio, bias, prior)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000, **how) -> ToxicityModel:
+    """A model from the labelled rows whose fold of the id is not 0; its prior is the share of label 1 among all labels learned from."""
+    n, ones = _labels(labels, modulus).agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    return train(labelled_rows(docs, labels, text, doc_id, modulus, sample), prior=(ones + 0.5) / (n + 1), **how)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5), one row per input row.
 
-    Null and blank texts get the share of label 1 among the rows learned from, at most 0.49999, so they are kept.
-    Null ids and repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    Null and blank texts get the share of label 1 among the labels learned from, at most 0.49999, so they are kept; long texts are read whole.
+    Null ids and repeated rows stay; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(text).alias("_text"), *keep)
@@ -190,7 +191,7 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tu
 
     def run(batches):
         model = sent.value
-        for b in batches:
+        for b in sliced(batches):
             p = np.array([model.score(t) for t in as_text(b.column(0))], dtype=np.float64)
             columns = [b.column(i) for i in range(1, b.num_columns)] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
@@ -199,18 +200,25 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tu
 
 
 def reject(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; null and blank texts stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` without those that score ``threshold`` or more.
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t or "") for t in texts], dtype="float64")
+    Null and blank texts stay, and so do null ids and repeated rows of texts that stay; columns are kept whatever their names; an empty table gives an empty result.
+    """
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        model = sent.value
+        for b in sliced(batches):
+            yield b.filter(pa.array([model.score(t) < threshold for t in as_text(b.column(at))], pa.bool_()))
 
-    return docs.where(score(F.coalesce(F.col(text), F.lit(""))) < threshold)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def evaluate(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, sample: int = 24_000, **how) -> DataFrame:
-    """Learn from labelled rows whose fold of the id is not 0, and score all rows: ``doc_id, held_out, score, predicted``."""
-    model = train(labelled_rows(docs, labels, text, doc_id, modulus, sample), **how)
+    """Learn from labelled rows whose fold of the id is not 0, and score all rows: ``doc_id, held_out, score, predicted``.
+
+    Edge cases are those of ``fit`` and ``classify``; a null id counts as the empty text and teaches nothing; without labels every score is one half, just below.
+    """
+    model = fit(docs, labels, text, doc_id, modulus, sample, **how)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (fold(F.col(doc_id), modulus) == 0).alias("held_out"))
     return classify(rows, model, keep=("doc_id", "held_out"))
