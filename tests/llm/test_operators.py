@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewalk.llm import additive, graph, impact, langid, language_model, mixing, pieces, queries, secrets, simhash, toxicity
+from tidewalk.llm import additive, graph, hamming, impact, langid, mixing, pieces, queries, search, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, uid string, word string, score double"
 WORDS = "the of and tion ing ent thor ere ation hand with stone river paper green light under over".split()
@@ -90,7 +90,7 @@ def test_forest_of_planted_clumps():
     fps = np.unique(np.array(fps, dtype=np.uint64))
     for size in (1, len(fps), 9):
         group = np.sort(np.arange(len(fps)) // size if size > 1 else np.zeros(len(fps), dtype=np.int64))
-        edges = simhash.forest(fps, group, simhash.pivots(24), 3)
+        edges = simhash.forest(fps, group, hamming.pivot_table(fps[:, None], hamming.pivots(16)), 3)
         parent = list(range(len(fps)))
 
         def root(x):
@@ -124,30 +124,60 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_deduplicate(docs, empty):
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(set(classes.values()))
-    assert ids.count(None) == 2
-    assert simhash.deduplicate(empty).count() == 0
-
-
-def test_mixing(docs, empty):
-    got = mixing.mix(docs, max_epochs=2.0).select("doc_id", "text", "source", "_block", "_place").collect()
+def brute_mix(rows, target_entropy=None, max_epochs=None):
+    """Counter of (row, block): ``rows`` are (row, source, tokens, place)."""
     size = Counter()
-    for r in docs.collect():
-        size[r.source or ""] += len(words(r.text))
-    seen = Counter()
-    for r in got:
-        seen[r.source or ""] += len(words(r.text))
-    assert all(0 <= r._place < 1 for r in got)
-    assert {(r.doc_id, r.text) for r in got} == {(r.doc_id, r.text) for r in docs.collect()}
-    biggest = max(size.values())
-    for s, n in size.items():
-        if n:
-            assert n <= seen[s] <= 2 * n + biggest
+    for _, s, n, _ in rows:
+        size[s] += n
+    some = {s: n for s, n in size.items() if n}
+    total = sum(some.values())
+    weights = lambda a: {s: (n / total) ** a / sum((m / total) ** a for m in some.values()) for s, n in some.items()}
+
+    def enough(a):
+        w = weights(a)
+        if target_entropy is not None:
+            return -sum(x * math.log(x) for x in w.values()) <= target_entropy
+        budget = max(n / w[s] for s, n in some.items())
+        return max(w[s] * budget / n for s, n in some.items()) <= max_epochs * (1 + 1e-12)
+
+    low, high = 0.0, 8.0 if target_entropy is not None else 1.0
+    if enough(0.0):
+        high = 0.0
+    for _ in range(80):
+        low, high = (low, (low + high) / 2) if enough((low + high) / 2) else ((low + high) / 2, high)
+    w = weights(high)
+    budget = max(n / w[s] for s, n in some.items())
+    out = Counter()
+    for s in size:
+        seen = w[s] * budget / size[s] if size[s] else 1.0
+        seen = round(seen) if abs(seen - round(seen)) < 1e-9 else seen
+        owed, before = (seen - math.floor(seen)) * size[s], 0
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: r[3])
+        for place in sorted({r[3] for r in own}):
+            here = [r for r in own if r[3] == place]
+            for r in here:
+                for block in range(math.floor(seen) + (before < owed)):
+                    out[r[0], block] += 1
+            before += sum(r[2] for r in here)
+    return out
+
+
+def test_mixing(spark, docs, empty):
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 52)) / float(1 << 52)
+    held = docs.select("doc_id", "text", "source", place.alias("place")).collect()
+    rows = [((r.doc_id, r.text), r.source or "", len(words(r.text)), r.place) for r in held]
+    for how in ({"max_epochs": 2.0}, {"max_epochs": 1.3}, {"target_entropy": 1.2}, {"target_entropy": 0.3}):
+        got = mixing.mix(docs, **how).collect()
+        assert Counter(((r.doc_id, r.text), r._block) for r in got) == brute_mix(rows, **how)
+        assert all(0 <= r._place < 1 for r in got)
+    # columns of any names are kept
+    odd = docs.select("doc_id", "text", "source", *(F.lit(9).alias(c) for c in ("whole", "seen", "until", "s", "u", "n", "r", "_s", "_key", "_times", "_row", "_block", "_place")))
+    more = mixing.mix(odd)
+    assert more.columns == [c for c in odd.columns if c[:2] not in ("_b", "_p")] + ["_block", "_place"] and {(r.whole, r._s, r._row) for r in more.collect()} == {(9, 9, 9)}
+    # a block is in order of place, and no document stands beside its copy
+    order = [r.doc_id for r in mixing.in_order(mixing.mix(docs.where("doc_id > 12").dropDuplicates(["text"])), 5).collect()]
+    places = [r.doc_id for r in sorted(mixing.mix(docs.where("doc_id > 12").dropDuplicates(["text"])).collect(), key=lambda r: r._place)]
+    assert order == places and len(set(order)) < len(order) and all(a != b for a, b in zip(order, order[1:]))
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs.where("text is null or text = ''")).count() == docs.where("text is null or text = ''").count()
 
@@ -203,6 +233,23 @@ def test_widely_copied_values_are_examples(spark):
     assert new[9] == "[SECRET]" and new[0] == rows[0][1]
 
 
+def test_owners_and_repositories_apart(spark):
+    """One owner's many repositories, one repository's many owners, and few of both."""
+    rows = [(i, "x token=Abcdef918273645", f"repo{i}", "one") for i in range(4)] + [(i, "x token=Ghijkl918273645", "repo", f"owner{i}") for i in range(10, 14)]
+    rows += [(20, "x token=Mnopqr918273645", "a", "x"), (21, "x token=Mnopqr918273645", "b", "y"), (22, "x token=Mnopqr918273645", "b", "y"), (23, "x token=Stuvwx918273645", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, owner string")
+    got = {r.doc_id: r.spans[0] for r in secrets.scan(df, repo="source", owner="owner").collect()}
+    assert [(got[i].verdict, got[i].n_repos, got[i].n_owners) for i in (0, 10, 20, 23)] == [("example", 4, 1), ("example", 1, 4), ("live", 2, 2), ("live", 1, 1)]
+    new = {r.doc_id: r.text for r in secrets.redact(df, owner="owner").collect()}
+    assert new[0] == rows[0][1] and new[20] == new[23] == "x [SECRET]"
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=Abcdef918273645", 5, 6, 7, 8, 9), (None, None, 5, 6, 7, 8, 9)], "doc_id long, text string, _id int, _digest int, _spans int, _row int, _new int").withColumn("source", F.lit(None).cast("string"))
+    got = sorted(map(tuple, secrets.redact(df).collect()), key=str)
+    assert got == [(1, "[SECRET]", 5, 6, 7, 8, 9, None), (None, None, 5, 6, 7, 8, 9, None)]
+
+
 def test_redact(docs, empty):
     new = secrets.redact(docs)
     assert new.columns == docs.columns and new.count() == docs.count()
@@ -229,40 +276,71 @@ def usable(rows, zero):
             yield r.vec_id, np.array(x, dtype=np.float64)
 
 
+def ranked(rows, queries, score, k=5):
+    """(query, rank, id, score) of every query, by brute force."""
+    out = []
+    for q, x in queries:
+        best = sorted((-score(x, y), i) for i, y in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def asked(rows, every=50):
+    """One query for each distinct row."""
+    return [(i, np.array(x)) for i, x in sorted({(i, tuple(x)) for i, x in rows if i % every == 0})]
+
+
 def test_impact_index(spark):
-    df = vectors_table(spark)
+    df = vectors_table(spark)  # id 50 is there twice, with one vector; 10, 60 and 61 are equal
     rows = [(i, np.floor(256 * x).astype(int)) for i, x in usable(df.collect(), True)]
-    got = impact.top_inner_products(df, lambda i: i % 50 == 0, block=64).collect()
-    want = []
-    for q, x in rows:
-        if q % 50 == 0:
-            best = sorted((-int(x @ y), i) for i, y in rows if i != q)[:5]
-            want += [(q, i, -s) for s, i in best]
-    # a repeated query id is asked twice, and its rows are ranked together
-    assert {(r.query_id, r.vec_id, r.score) for r in got} <= set(want)
-    once = [r for r in got if r.query_id != 50]
-    assert sorted((r.query_id, r.vec_id, r.score) for r in once) == sorted(w for w in want if w[0] != 50)
-    assert all(r.rank in range(1, 6) for r in got)
+    inner = lambda a, b: int(a @ b)
+    for how in ({}, {"block": 64}):
+        got = impact.top_inner_products(df, lambda i: i % 50 == 0, **how).collect()
+        assert sorted(map(tuple, got)) == ranked(rows, asked(rows), inner)
     assert impact.top_inner_products(df.where("false"), lambda i: i % 50 == 0).count() == 0
     assert impact.top_inner_products(df.where("vec_id in (0, 1, 2)"), lambda i: i % 50 == 0).count() == 2
 
 
+def test_one_id_with_two_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 8)], 1, 2, 3.0) for i in range(30)] + [(0, [1.0] * 8, 1, 2, 3.0), (None, [1.0] * 8, 1, 2, 3.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, query int, score double")
+    held = [(r[0], np.floor(256 * np.array(r[1])).astype(int)) for r in rows if r[0] is not None]
+    got = impact.top_inner_products(df, lambda i: i % 50 == 0, block=8).collect()
+    assert sorted(map(tuple, got)) == ranked(held, asked(held), lambda a, b: int(a @ b))
+    few = search.blocked(df, lambda i: i % 50 == 0, impact.ImpactIndex, 5, "long", block=8, most_bytes=80)  # a batch a query
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got))
+
+
 def test_additive_quantisation(spark):
     df = vectors_table(spark, 2)
-    rows = dict(usable(df.collect(), False))
-    got = additive.nearest(df, lambda i: i % 50 == 0, n_books=4, size=32, rerank=64).collect()
-    hits = total = 0
-    for q in (x for x in rows if x % 50 == 0):
-        cosine = lambda a, b: float(a @ b / math.sqrt((a @ a) * (b @ b)))
-        best = [i for _, i in sorted((-cosine(rows[q], y), i) for i, y in rows.items() if i != q)[:5]]
-        mine = [r for r in got if r.query_id == q]
-        assert all(abs(r.score - cosine(rows[q], rows[r.vec_id])) < 1e-12 for r in mine)
-        hits, total = hits + len({r.vec_id for r in mine} & set(best)), total + 5
-    assert hits / total >= 0.9
+    rows = list(usable(df.collect(), False))
+    cosine = lambda a, b: float(a @ b / math.sqrt((a @ a) * (b @ b)))
+    got = additive.nearest(df, lambda i: i % 50 == 0, n_books=4, size=32, rerank=0.27).collect()
+    want = ranked(rows, asked(rows), cosine)
+    assert {(r.query_id, r.rank) for r in got} == {w[:2] for w in want} and len(got) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len({(q, i) for q, _, i, _ in want})
+    by = {i: x for i, x in rows}
+    assert all(abs(r.score - cosine(by[r.query_id], by[r.vec_id])) < 1e-12 for r in got)
     assert additive.nearest(df.where("false"), lambda i: i % 50 == 0).count() == 0
     assert additive.nearest(df.where("vec_id in (0, 1, 2)"), lambda i: i % 50 == 0).count() == 2
 
 
+def test_recall_of_the_default_settings(spark):
+    """20,000 vectors, at most 3 % of each block reranked: the codes decide which."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(0, 1, (20_000, 32)).astype(np.float32) + rng.normal(0, 2, (200, 32)).astype(np.float32)[rng.integers(0, 200, 20_000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in additive.nearest(df, lambda i: i % 200 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    near = unit[::200] @ unit.T
+    near[np.arange(100), np.arange(0, 20_000, 200)] = -2
+    hits = sum(len(got[200 * q] & set(np.argsort(-near[q])[:5].tolist())) for q in range(100))
+    assert hits / 500 >= 0.9
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.read_model(queries.TOKENIZER)
@@ -321,6 +399,75 @@ def test_language_filters(spark, empty):
     assert {r.lang_pred for r in langid.evaluate(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_filters_by_brute_force(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, "abcdefgh"[i % 8] * 2, " ".join("".join(rng.choice(list("xyzuvw" + "abcdefgh"[i % 8]), 5)) for _ in range(12))) for i in range(160)]
+    df = spark.createDataFrame([*rows, (999, None, None)], "doc_id long, lang string, text string")
+    model = langid.train(df, probes=8)
+    sets = {x: set() for _, x, _ in rows}
+    for _, x, t in rows:
+        sets[x] |= {f" {t} "[k : k + 5] for k in range(len(t) - 2)}
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    for i, _, t in rows:
+        windows = [f" {t} "[k : k + 5] for k in range(len(t) - 2)]
+        hits = {x: sum(w in s for w in windows) for x, s in sets.items()}
+        best = max(sorted(hits), key=hits.get)
+        assert got[i].lang_pred == best and abs(got[i].score - hits[best] / sum(hits.values())) < 0.03
+    # every language that has an n-gram is returned
+    keys = langid.grams(rows[0][2])
+    assert model.masks(keys)[:, model.languages.index("aa")].all()
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rows = [(i, f"l{i % 90:02}", " ".join(f"{chr(97 + i % 90 % 26)}{i % 90}word{k}" for k in range(8))) for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(df)
+    assert model.table.shape[1] == 2
+    assert [r.lang_pred for r in langid.identify(df, model, keep=("doc_id", "lang")).orderBy("doc_id").collect()] == [x for _, x, _ in rows]
+    some = langid.train(df.unionByName(df).unionByName(df), sample=1)
+    assert some.languages == model.languages and some.table.any()
+
+
+def tox_grams(t):
+    t = f" {re.sub(r'[^0-9a-z]+', ' ', t.lower()).strip()} "
+    return {t[k : k + 6] for k in range(len(t) - 5)} if len(t) > 5 else {t.ljust(6)}
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = np.random.default_rng(17)
+    rows = [(" ".join([*rng.choice(WORDS, 12), *(["nasty", "awful"] if i % 4 == 0 else ["kindly"])]), int(i % 4 == 0)) for i in range(160)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), n_features=60)
+    p, q = (Counter(g for t, y in rows if y == z for g in tox_grams(t)) for z in (1, 0))
+    pos, neg = 40, 120
+    part = lambda a, e: a * math.log(a / e) if a else 0.0
+
+    def gain(g):
+        both = p[g] + q[g]
+        rest = pos + neg - both
+        return part(p[g], pos * both / 160) + part(q[g], neg * both / 160) + part(pos - p[g], pos * rest / 160) + part(neg - q[g], neg * rest / 160)
+
+    key = {}  # n-grams by their hashes
+    for t, _ in rows:
+        chars = f" {re.sub(r'[^0-9a-z]+', ' ', t.lower()).strip()} "
+        key.update(zip((chars[k : k + 6] for k in range(len(chars) - 5)), toxicity.hashes(t).tolist()))
+    best = sorted({*p, *q}, key=lambda g: (-round(gain(g), 9), key[g]))[:60]
+    assert sorted(key[g] for g in best) == model.keys.tolist()
+    weight = dict(zip(model.keys.tolist(), model.weight))
+    for t, y in rows:
+        z = model.bias + sum(weight[key[g]] for g in tox_grams(t) if key[g] in weight)
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9 and (model.score(t) >= 0.5) == bool(y)
+
+
+def test_empty_texts_follow_all_labels(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 4 else "nasty words") for i in range(400)] + [(1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    want = (sum(i % 4 == 0 for i in learned) + 0.5) / (len(learned) + 1)
+    for sample in (40, 24_000):
+        got = toxicity.evaluate(docs, labels, sample=sample).where("doc_id = 1000").first()
+        assert abs(got.score - want) < 1e-12 and got.predicted == 0
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(7)
     rows, labels = [], []
@@ -338,39 +485,12 @@ def test_toxicity(spark, empty):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 500]
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.95
-    kept = toxicity.reject(docs, toxicity.train(toxicity.labelled_rows(docs, labels)))
+    kept = toxicity.reject(docs, toxicity.fit(docs, labels))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1000, 1001, 1, 2}
     assert toxicity.evaluate(empty, labels).count() == 0
     assert len({r.score for r in toxicity.evaluate(docs, labels.where("false")).collect() if r.doc_id is not None and r.doc_id < 500}) == 1
 
 
-def test_language_model(docs, empty):
-    got = language_model.evaluate(docs, filter_bits=22, range_bits=3).collect()
-    rows = docs.collect()
-    tokens = [(r.doc_id, zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2, words(r.text) + [None]) for r in rows]
-    count = Counter(w for _, held, t in tokens if not held for w in t)
-    n, v = sum(count.values()), len(count)
-    base = lambda t: round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 5)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == Counter((i, h, len(t), sum(count[w] > 0 for w in t), n, base(t)) for i, h, t in tokens)
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) - 0.25 * sum(r.n_tokens for r in got if r.held_out)
-    assert all(r.score < 0 for r in got)
-    assert language_model.evaluate(empty, filter_bits=16, range_bits=2).count() == 0
-
-
-def test_count_filter():
-    rng = np.random.default_rng(9)
-    suffix = np.unique(rng.integers(0, 2**32, 4000, dtype=np.uint32))
-    count = rng.geometric(0.1, len(suffix))
-    keys, want = suffix.astype(np.uint64) << np.uint64(31), language_model.level(count)
-    for bits, all_in in ((19, True), (16, False)):
-        part = language_model._slice(suffix, count, bits, 4)
-        got = language_model.CountFilter(np.tile(part, 2), 1, bits, 4, 1, 1).levels(keys)
-        held = want >= (1 if all_in else want[got < want].max() + 1)
-        assert held.sum() > 300 and (got[held] >= want[held]).all() and (got[held] == want[held]).mean() > 0.85
-    assert language_model._slice(suffix[:0], count[:0], 10, 4).sum() == 0
-    assert (np.abs(language_model.expected(language_model.level(np.arange(1, 200))) / np.arange(1, 200) - 1) < 0.25).all()
-
-
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 

@@ -246,8 +246,8 @@ def read_model(path: str) -> bytes:
 def round_trip(docs: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
     """Encode and decode every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, the columns in ``keep``, and with ``ids`` the ids.
 
-    A null text is empty; an empty text has no ids and decodes to itself.  One row per input row:
-    null ids and repeated rows are kept.  An empty table gives an empty result.
+    A null text is empty; an empty text has no ids and decodes to itself; a long one is encoded whole.  One row per input row:
+    null ids and repeated rows are kept; other columns, whatever their names, are ignored.  An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *keep)
