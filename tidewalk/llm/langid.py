@@ -59,7 +59,8 @@ class LanguageFilters:
         found = self.table[first]
         for s in rest:
             found &= self.table[s]
-        return np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : len(self.languages)]
+        n = len(self.languages)
+        return np.unpackbits(found.view(np.uint8)[:, : -(-n // 8)], axis=1, bitorder="little")[:, :n]
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and its share of all languages' corrected counts; ``und``, 0 for a text without a letter."""
