@@ -1,6 +1,8 @@
 """The language model: every gram is held, scores equal a brute-force model's, broadcast or not."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -90,6 +92,49 @@ def test_copies_score_above_single_texts(spark):
     assert (twice > np.quantile(once, 0.9)).mean() > 0.9
 
 
+def test_workers_map_the_broadcast_filter_and_hold_no_copy(spark):
+    bits = np.random.default_rng(31).integers(0, 256, 5_000_000, dtype=np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+    rows = spark.sparkContext.parallelize(range(2), 2).map(lambda _: (language_model.mapped(sent, len(bits)), "_value" in sent.__dict__)).collect()
+    assert all((got == bits).all() and not copied for got, copied in rows)
+    other = spark.sparkContext.broadcast(b"no run of that size")
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: language_model.mapped(other, 5)).collect() == [b"no run of that size"]
+
+
+def test_counting_leaves_little_memory_held():
+    """What a worker still holds after some 60 MB of texts were counted: it stays beside the filter and the JVM."""
+    ended = subprocess.run([sys.executable, "-c", _COUNT], capture_output=True, text=True, timeout=300)
+    assert ended.returncode == 0, ended.stderr
+    assert float(ended.stdout) < 150
+
+
+_COUNT = """
+import re
+import numpy as np, pyarrow as pa
+from tidewalk.llm import language_model
+
+class Rows:
+    def select(self, *_):
+        return self
+    def mapInArrow(self, run, _):
+        return run
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        words = np.char.add("word", np.minimum(rng.zipf(1.2, 1_300_000), 2_000_000).astype(str))
+        yield pa.record_batch([pa.array([" ".join(words[k : k + 260]) for k in range(0, len(words), 260)])], ["text"])
+
+before = held()
+for b in language_model._counted(Rows(), 7)(batches()):
+    del b
+print(held() - before)
+"""
+
+
 def test_tokens_are_the_words():
     rng = np.random.default_rng(24)
     signs = [b"a", b"B", b"\x00", "é".encode(), b" ", b"\t", b"\r\n", b"\x0b", b"\x0c", b"long", "\u3000".encode()]

@@ -15,14 +15,16 @@ The plain add-one score beside it is exact: each chunk's distinct words are join
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, as_bytes, cut, fold, mix64
+from .common import LOWER, as_bytes, cut, fold, given_back, mix64
 
 END = b""  # no word is empty
 _START, _PAIR, _TRIPLE, _WORD = np.uint64(0x5D1E57A7), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0xE7037ED1A0B428DB)
@@ -247,6 +249,20 @@ def collected(ranges: DataFrame, size: int, range_bits: int, probes: int) -> Cou
     return CountFilter(bits, base, room, range_bits, probes)
 
 
+def mapped(sent: Broadcast, size: int) -> np.ndarray:
+    """The ``size`` broadcast bytes, mapped from the file that Spark keeps of a broadcast: an executor's workers share its pages and have no copies.
+
+    The bytes stand in the file as one pickled run.  Where there is no such file (Spark encrypts it), or none with the run, it is the worker's copy.
+    """
+    path = sent.__dict__.get("_path")
+    if path:
+        with open(path, "rb") as f:
+            at = f.read(4096).find(pickle.BYTEARRAY8 + size.to_bytes(8, "little"))
+        if at >= 0:
+            return np.memmap(path, np.uint8, "r", at + 9, (size,)).view(np.ndarray)
+    return sent.value
+
+
 @dataclass
 class Answers:
     """Levels of some sorted keys, as the ranges gave them."""
@@ -281,9 +297,9 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """Range, start and end of the ranges that sorted keys have."""
-    of = split(keys, bits)[0]
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.array([], dtype=np.int64)
-    return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)]))
+    lows = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
+    edges = [0, *np.searchsorted(keys, lows).tolist(), len(keys)]
+    return [(r, a, b) for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
 def _table(schema: str, **columns) -> pa.Table:
@@ -300,36 +316,43 @@ _TOLD = "chunk long, range int, levels binary, count binary"
 def _counted(training: DataFrame, range_bits: int) -> DataFrame:
     """Each part of the texts gives each range its grams' suffixes and, apart, its words, with their counts."""
 
+    def grams(t: Tokens):
+        pairs, triples, inner = t.keys()
+        return [pairs, triples[inner], word_keys(np.full(len(t.starts), _START))], zip(t.words, t.h.tolist(), np.bincount(t.at, minlength=len(t.words)).tolist())
+
     def run(batches):
         held, n, seen = [], 0, {}
 
         def out():
             words = sorted(seen, key=seen.__getitem__)
             h, own = (np.array([seen[w][i] for w in words], dtype=np.uint64) for i in (0, 1))
-            keys, count = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.concatenate(held)
+            held.clear()
+            seen.clear()
+            keys.sort()  # in place: these are the largest arrays of a part
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            count, keys = np.diff(first, append=len(keys)), keys[first]
             keys, count = np.r_[keys, word_keys(h)], np.r_[count, own.astype(np.int64)]
             order = np.argsort(keys, kind="stable")
             keys, count = keys[order], np.minimum(count[order], 2**32 - 1)
-            suffix = split(keys, range_bits)[1]
-            rows = [(r, _packed(suffix[a:b]), None, _planes(count[a:b])) for r, a, b in _cuts(keys, range_bits)]
+            rows = [(r, _packed(split(keys[a:b], range_bits)[1]), None, _planes(count[a:b])) for r, a, b in _cuts(keys, range_bits)]
             rows += [(r, None, b" ".join(words[a:b]), _planes(own[a:b])) for r, a, b in _cuts(h, range_bits)]
             r, s, w, c = zip(*rows)
             return _table(_GRAMS, range=r, suffix=s, words=w, count=c).to_batches()
 
         for b in batches:
             for part in portions(as_bytes(b.column(0))):
-                t = Tokens.of(part)
-                pairs, triples, inner = t.keys()
-                held += [pairs, triples[inner], word_keys(np.full(len(t.starts), _START))]
-                n += len(t.at)
-                for w, h, c in zip(t.words, t.h.tolist(), np.bincount(t.at, minlength=len(t.words)).tolist()):
+                keys, words = grams(Tokens.of(part))
+                held += keys
+                n += len(keys[0])
+                for w, h, c in words:
                     had = seen.get(w)
                     seen[w] = (h, c if had is None else had[1] + c)
                 if n > _FLUSH:
-                    yield from out()
-                    held, n, seen = [], 0, {}
+                    yield from given_back(out())
+                    n = 0
         if held:
-            yield from out()
+            yield from given_back(out())
 
     return training.select("text").mapInArrow(run, _GRAMS)
 
@@ -372,7 +395,7 @@ def train(training: DataFrame, range_bits: int = 7, probes: int = 4) -> DataFram
         room, bits, words, count, n, v = zip(*rows)
         return _table(_RANGES, range=[r] * len(rows), room=room, bits=bits, words=words, count=count, n=n, v=v)
 
-    return cut(_counted(training, range_bits).groupBy("range").applyInArrow(build, _RANGES), "ranges")
+    return cut(_counted(training, range_bits).groupBy("range").applyInArrow(lambda table: given_back(build(table)), _RANGES), "ranges")
 
 
 def score_tokens(model: CountFilter | Answers, t: Tokens, n: int, v: int, pair_weight: float = 400.0, triple_weight: float = 10.0) -> np.ndarray:
@@ -417,9 +440,11 @@ def evaluate(
     n, v, filter_bytes = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()
     small = filter_bytes <= most_bytes
     parts = ranges.where("bits is not null").select("range", "room", "bits")
-    sent = None
+    sent = sent_bytes = layout = None
     if small:
-        sent = docs.sparkSession.sparkContext.broadcast(collected(parts, filter_bytes, range_bits, probes))
+        model = collected(parts, filter_bytes, range_bits, probes)
+        sent, sent_bytes, layout = docs.sparkSession.sparkContext.broadcast(model.bits), len(model.bits), (model.base, model.room, range_bits, probes)
+        del model
 
     def keys_of(t: Tokens) -> np.ndarray:
         pairs, triples, inner = t.keys()
@@ -461,7 +486,7 @@ def evaluate(
         t, told = Tokens.of(as_bytes(table["text"].combine_chunks())), told.sort_by("range")
         both = lambda c: b"".join(told[c].drop_null().to_pylist())
         count = np.frombuffer(both("count"), dtype=np.int64)
-        model = sent.value if small else Answers(keys_of(t), np.frombuffer(both("levels"), dtype=np.uint8).astype(np.int64))
+        model = CountFilter(mapped(sent, sent_bytes), *layout) if small else Answers(keys_of(t), np.frombuffer(both("levels"), dtype=np.uint8).astype(np.int64))
         total = lambda x: np.add.reduceat(x, t.starts)
         length = np.diff(np.r_[t.starts, len(t.at)])
         base = total(np.log10(count + 1.0)[t.at]) - length * np.log10(n + v + 1.0)
@@ -471,7 +496,8 @@ def evaluate(
 
     by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("chunk")
     held_back = ranges.where("words is not null").drop("bits").withColumn("bits", F.lit(None).cast("binary")) if small else ranges
-    told = held_back.groupBy("range").cogroup(by_chunk.applyInArrow(ask, _ASKED).groupBy("range")).applyInArrow(answer, _TOLD)
+    told = held_back.groupBy("range").cogroup(by_chunk.applyInArrow(lambda table: given_back(ask(table)), _ASKED).groupBy("range"))
+    told = told.applyInArrow(lambda own, asked: given_back(answer(own, asked)), _TOLD)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lambda table, told: given_back(score(table, told)), schema)
