@@ -295,10 +295,15 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(x), dtype=np.uint32)
 
 
+def _highs(keys: np.ndarray, bits: int) -> list[int]:
+    """Where each range of sorted keys ends."""
+    lows = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
+    return [*np.searchsorted(keys, lows).tolist(), len(keys)]
+
+
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """Range, start and end of the ranges that sorted keys have."""
-    lows = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
-    edges = [0, *np.searchsorted(keys, lows).tolist(), len(keys)]
+    edges = [0, *_highs(keys, bits)]
     return [(r, a, b) for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
@@ -332,10 +337,17 @@ def _counted(training: DataFrame, range_bits: int) -> DataFrame:
             keys.sort()  # in place: these are the largest arrays of a part
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             count, keys = np.diff(first, append=len(keys)), keys[first]
-            keys, count = np.r_[keys, word_keys(h)], np.r_[count, own.astype(np.int64)]
-            order = np.argsort(keys, kind="stable")
-            keys, count = keys[order], np.minimum(count[order], 2**32 - 1)
-            rows = [(r, _packed(split(keys[a:b], range_bits)[1]), None, _planes(count[a:b])) for r, a, b in _cuts(keys, range_bits)]
+            of_word = word_keys(h)
+            order = np.argsort(of_word)
+            rows, low, word_low = [], 0, 0
+            for r, (high, word_high) in enumerate(zip(_highs(keys, range_bits), _highs(of_word[order], range_bits))):  # range by range: no second copy of all
+                few = order[word_low:word_high]
+                k, c = np.r_[keys[low:high], of_word[few]], np.r_[count[low:high], own[few].astype(np.int64)]
+                if len(k):
+                    sorting = np.argsort(k, kind="stable")
+                    rows.append((r, _packed(split(k[sorting], range_bits)[1]), None, _planes(np.minimum(c[sorting], 2**32 - 1))))
+                low, word_low = high, word_high
+            del keys, count, first
             rows += [(r, None, b" ".join(words[a:b]), _planes(own[a:b])) for r, a, b in _cuts(h, range_bits)]
             r, s, w, c = zip(*rows)
             return _table(_GRAMS, range=r, suffix=s, words=w, count=c).to_batches()
@@ -349,6 +361,7 @@ def _counted(training: DataFrame, range_bits: int) -> DataFrame:
                     had = seen.get(w)
                     seen[w] = (h, c if had is None else had[1] + c)
                 if n > _FLUSH:
+                    given_back(None)
                     yield from given_back(out())
                     n = 0
         if held:
